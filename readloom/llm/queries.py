@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.common import table
-from readloom.llm import frequent, neardup, words
+from readloom.llm import frequent, mixing, neardup, packing, residue, split, words
+
+
+def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_chunks(table(spark, d, "fasta_chunks"), table(spark, d, "fasta_records"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.oversized_chunks(p1_pieces(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,8 +43,32 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_reads(table(spark, d, "long_reads")).groups()
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "token_budgets"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_packed(spark, d))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_weights")).selection()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_weights")).report()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.judged(table(spark, d, "documents")).filter(residue.is_residue()).select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, d: str) -> DataFrame:
+    return residue.clean_documents(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_intervals, p5_found, p5_words, p6_found, p6_groups)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_intervals, p5_found, p5_words, p6_found, p6_groups, p7_packed, p7_fill, p8_selection, p8_shares, p9_found, p9_clean)}
 
 
 _ONCE = "once AS (SELECT DISTINCT read_id, upper(trim(seq, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS seq FROM reads_se)"
@@ -49,6 +81,10 @@ _WORDS = f"""{_ONCE},
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": """WITH recs AS (SELECT DISTINCT gid, file_no, length(regexp_replace(coalesce(seq, ''), '[^A-Za-z]', '', 'g')) AS n FROM fasta_records),
+ chunks AS (SELECT DISTINCT chunk_id, file_no, coalesce(chunk_start, chunk_end - nseqs + 1) AS s, coalesce(chunk_end, chunk_start + nseqs - 1) AS e, max_bases FROM fasta_chunks),
+ running AS (SELECT chunk_id, gid, max_bases, sum(n) OVER (PARTITION BY chunk_id ORDER BY gid) AS upto FROM chunks JOIN recs ON recs.file_no = chunks.file_no AND gid BETWEEN s AND e)
+SELECT chunk_id, min(gid) AS gid FROM running WHERE upto > max_bases GROUP BY chunk_id""",
         "p2_found": f"WITH {_ONCE} SELECT seq FROM once WHERE seq <> '' GROUP BY seq ORDER BY count(*) DESC LIMIT 20",
         "p5_found": f"WITH {_WORDS} SELECT kmer, mark FROM marked WHERE mark IS NOT NULL",
         "p5_words": f"WITH {_WORDS} SELECT kmer, occurrences, reads, mark FROM marked",
