@@ -62,7 +62,7 @@ def prefix_groups(reads: DataFrame, width: int = 12) -> DataFrame:
     return (
         totals.filter(F.col("key12").isNotNull())
         .withColumn("all_reads", F.lit(everything).cast("bigint"))
-        .withColumn("share", F.col("n_reads") / F.col("all_reads"))
+        .withColumn("share", F.try_divide("n_reads", "all_reads"))
     )
 
 

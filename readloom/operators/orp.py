@@ -98,12 +98,17 @@ class HotWords:
     def _one(self, word: bytes) -> int:
         return sum(c * pow(int(self.B), i, 1 << 64) for i, c in enumerate(word)) % (1 << 64)
 
+    @staticmethod
+    def _powers(n: int, base: np.uint64) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
     def hits(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(k, places where a hot word of k letters starts inside a row and a window may be probed)."""
         n = len(text)
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.concatenate([[1], np.full(max(0, n - 1), self.B)]).astype(np.uint64)) if n else np.empty(0, np.uint64)
-            back = np.cumprod(np.concatenate([[1], np.full(max(0, n - 1), self.inverse)]).astype(np.uint64)) if n else powers
+            powers, back = self._powers(n, self.B), self._powers(n, self.inverse)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text.astype(np.uint64) * powers)])
             row_end = np.repeat(offsets[1:], np.diff(offsets))
             row_start = np.repeat(offsets[:-1], np.diff(offsets))

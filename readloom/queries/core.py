@@ -79,12 +79,12 @@ def totals(spark, d):
 
 @query
 def q20_q30(spark, d):
-    return stats.totals(se(spark, d, "qual")).select("q20_bases", "q30_bases", F.round(F.col("q20_bases") / F.col("bases"), 9).alias("q20_share"), F.round(F.col("q30_bases") / F.col("bases"), 9).alias("q30_share"))
+    return stats.totals(se(spark, d, "qual")).select("q20_bases", "q30_bases", F.round(F.try_divide("q20_bases", "bases"), 9).alias("q20_share"), F.round(F.try_divide("q30_bases", "bases"), 9).alias("q30_share"))
 
 
 @query
 def gc_content(spark, d):
-    return se(spark, d).agg(F.sum(stats.gc_bases("seq")).alias("gc_bases"), F.round(F.sum(stats.gc_bases("seq")) / F.sum(F.length("seq")), 9).alias("gc_share"))
+    return se(spark, d).agg(F.sum(stats.gc_bases("seq")).alias("gc_bases"), F.round(F.try_divide(F.sum(stats.gc_bases("seq")), F.sum(F.length("seq"))), 9).alias("gc_share"))
 
 
 @query

@@ -21,7 +21,7 @@ def arrival_counts(reads: DataFrame, window: str = "1 hour", late: str = "10 day
     A read delivered again within the watermark counts once; later rows are dropped, as are rows without a time.
     State is bounded by the watermark: one key per read and one row per window.
     """
-    rows = reads.filter("arrived_at IS NOT NULL").select("read_id", "arrived_at", line("seq").alias("seq"), quality("qual", "seq").alias("qual"))
+    rows = reads.filter("arrived_at IS NOT NULL").select("read_id", F.col("arrived_at").cast("timestamp").alias("arrived_at"), line("seq").alias("seq"), quality("qual", "seq").alias("qual"))
     once = rows.withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["read_id"])
     return once.groupBy(F.window("arrived_at", window)).agg(
         F.count(F.lit(1)).alias("reads"),
