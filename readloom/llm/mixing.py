@@ -89,7 +89,7 @@ class Mix:
         taken = (selection if selection is not None else self.selection()).groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
         all_tokens = F.sum("tokens").over(W.partitionBy())  # one row per source
         full = self.targets.join(taken, "source", "left").select("source", F.col("target").alias("target_share"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "tokens", "most_copies")))
-        return full.withColumn("share", F.col("tokens") / all_tokens)
+        return full.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), all_tokens), F.lit(0.0)))
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame, seed: int = 0, vocabulary: str | None = None) -> Mix:
