@@ -134,6 +134,8 @@ FILLERS = (
     "type your reasons here",
     "body copy to follow",
     "text to follow",
+    "enter text here",
+    "insert text here",
     "example paragraph, delete before filing",
     "delete before filing",
     "blah blah blah",
@@ -142,7 +144,11 @@ FILLERS = (
     "mustertext",
     "blindtext",
     "hier steht später der entscheidungstext",
+    "hier text einfügen",
+    "text hier eingeben",
     "contenu fictif",
+    "saisir le texte ici",
+    "texte d'exemple à remplacer par les motifs",
     "texte à remplacer",
     "texte d'exemple",
     "faux texte",
@@ -150,6 +156,8 @@ FILLERS = (
     "texto de ejemplo",
     "texto de relleno",
     "contenido de relleno",
+    "escriba aquí el contenido",
+    "escriba aquí",
     "lorem ipsum dolor sit amet",
 )
 
