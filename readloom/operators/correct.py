@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import kernels as K
 from readloom.functions.ragged import flat, matrix, to_strings
+from readloom.operators.forest import Forest
 from readloom.options import Options
 
 _LETTERS = np.frombuffer(b"ACGT", np.uint8)
@@ -266,8 +267,8 @@ def other_region(columns: Columns, rows: list[np.ndarray], shifts: np.ndarray, f
     return np.zeros_like(gone) if (gone & (factors >= 0.90)).any() else gone
 
 
-def correct_anchor(rows: list[np.ndarray], shifts: np.ndarray, factors: np.ndarray, quals: list[np.ndarray] | None, o: Options) -> tuple[np.ndarray, bool, np.ndarray, Columns]:
-    """(corrected anchor, high quality, kept candidates, columns); rows[0] is the anchor at shift 0."""
+def selected_columns(rows: list[np.ndarray], shifts: np.ndarray, factors: np.ndarray, quals: list[np.ndarray] | None, o: Options) -> tuple[np.ndarray, Columns]:
+    """(kept candidates, columns) after taking out candidates of another region; rows[0] is the anchor at shift 0."""
     keep = np.arange(len(rows) - 1)
 
     def build() -> Columns:
@@ -283,92 +284,190 @@ def correct_anchor(rows: list[np.ndarray], shifts: np.ndarray, factors: np.ndarr
             break
         keep = keep[~gone]
         columns = build()
+    return keep, columns
+
+
+def correct_anchor(rows: list[np.ndarray], shifts: np.ndarray, factors: np.ndarray, quals: list[np.ndarray] | None, o: Options, forest: Forest | None = None) -> tuple[np.ndarray, bool, np.ndarray, Columns]:
+    """(corrected anchor, high quality, kept candidates, columns)."""
+    keep, columns = selected_columns(rows, shifts, factors, quals, o)
     anchor = rows[0]
     if not len(keep):
         return anchor, False, keep, columns
     part = slice(columns.begin, columns.end)
     trusted, high = quality_of(columns, o)
     consensus = _LETTERS[columns.consensus[part]]
+    if o.correction_type == 1 and forest is not None:
+        return (consensus if high else forest.decide(consensus, anchor, anchor_features(columns, anchor, o))), high, keep, columns
     if trusted:
         return consensus, high, keep, columns
     own = columns.counts[_INDEX[anchor], np.arange(columns.begin, columns.end)]
     return np.where((columns.support[part] > 0.90) & (own <= 2), consensus, anchor), False, keep, columns
 
 
-def _correct(o: Options):
-    most = 4 * o.error_factor
-
+def _column_features(columns: Columns, row: np.ndarray, begin: int, o: Options) -> list[np.ndarray]:
+    part = np.arange(begin, begin + len(row))
+    base, top = _INDEX[row], columns.consensus[part]
+    cover, weight = columns.coverage[part], columns.weights[:, part].sum(axis=0)
+    own_n, own_w = columns.counts[base, part], columns.weights[base, part]
+    top_n, top_w = columns.counts[top, part], columns.weights[top, part]
+    support = columns.support[part]
+    whole = lambda x: np.full(len(row), x)
+    return [
+        own_n / cover, own_w / weight, own_w / np.maximum(1, own_n), top_n / cover, support, top_w / np.maximum(1, top_n), weight / cover, cover / o.coverage, weight / o.coverage,
+        whole(support.mean()), whole(support.min()), whole(cover.max() / o.coverage), whole(cover.min() / o.coverage),
+    ]
+
+
+def anchor_features(columns: Columns, anchor: np.ndarray, o: Options) -> np.ndarray:
+    """13 features of every position: share, weight and mean weight of its own base and of the consensus, weight and
+    coverage of the column, support and coverage of the whole anchor."""
+    return np.stack(_column_features(columns, anchor, columns.begin, o), axis=1)
+
+
+def candidate_features(columns: Columns, row: np.ndarray, begin: int, o: Options) -> np.ndarray:
+    """The same over the candidate's columns, and how far it and the anchor cover each other."""
+    end = begin + len(row)
+    both = (min(columns.end, end) - max(columns.begin, begin)) / (max(columns.end, end) - min(columns.begin, begin))
+    return np.stack([*_column_features(columns, row, begin, o), np.full(len(row), both)], axis=1)
+
+
+class Piled:
+    """A batch of anchors with their candidates, all aligned together in both directions."""
+
+    def __init__(self, batch: pa.RecordBatch, o: Options) -> None:
+        self.o = o
+        self.ids = batch.column(0).to_pylist()
+        self.anchors = [s.encode() for s in batch.column(1).to_pylist()]
+        self.quals = [q.encode() for q in batch.column(2).to_pylist()]
+        lists = batch.column(3)
+        self.starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        inner = lists.flatten()
+        self.candidates = inner.field("id").to_pylist()
+        self.seqs = [s.encode() for s in inner.field("seq").to_pylist()]
+        self.seq_quals = [q.encode() for q in inner.field("qual").to_pylist()]
+        self.paired = inner.field("paired").to_numpy(zero_copy_only=False)
+        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        n = len(self.candidates)
+        la = np.array([len(self.anchors[i]) for i in self.owner], np.int64)
+        self.length = lc = np.array([len(s) for s in self.seqs], np.int64)
+        self.usable, self.flipped = np.zeros(n, bool), np.zeros(n, bool)
+        self.shift, self.over, self.wrong = (np.zeros(n, np.int64) for _ in range(3))
+        size = -(-np.maximum(la, lc) // 128)
+        for g in np.unique(size):
+            group = np.flatnonzero(size == g)
+            for at in range(0, len(group), 20_000):
+                rows = group[at : at + 20_000]
+                a = _stack([self.anchors[self.owner[r]] for r in rows])
+                c = _stack([self.seqs[r] for r in rows])
+                rc = K.reverse_complement(c, lc[rows])
+                rc[np.arange(rc.shape[1]) >= lc[rows][:, None]] = 0
+                limits = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
+                f, r = align(a, la[rows], c, lc[rows], *limits), align(a, la[rows], rc, lc[rows], *limits)
+                ok, rev = orient(f, r, la[rows], 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
+                self.usable[rows], self.flipped[rows] = ok, rev
+                for target, i in ((self.shift, 1), (self.over, 2), (self.wrong, 3)):
+                    target[rows] = np.where(rev, r[i], f[i])
+
+    def kept(self, i: int) -> np.ndarray:
+        """The candidates of anchor i that agree enough with it."""
+        own = np.arange(self.starts[i], self.starts[i + 1])
+        own = own[self.usable[own]]
+        if not len(own):
+            return own
+        ratio, o = self.wrong[own] / self.over[own], self.o
+        if o.pair_mode == "PE":
+            return own[self.paired[own] | (ratio < o.error_factor)]
+        return own[ratio < mismatch_limit(ratio, o.error_factor, o.coverage, o.coverage_factor)]
+
+    def pile(self, i: int, own: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray] | None, np.ndarray]:
+        """(sequences, qualities if they count, weight factors) of anchor i and its candidates in its direction."""
+        rows, quals = [np.frombuffer(self.anchors[i], np.uint8)], [np.frombuffer(self.quals[i], np.uint8)]
+        for c in own:
+            s, w = np.frombuffer(self.seqs[c], np.uint8), np.frombuffer(self.seq_quals[c], np.uint8)
+            rows.append(K._COMPLEMENT[s[::-1]] if self.flipped[c] else s)
+            quals.append(w[::-1] if self.flipped[c] else w)
+        factors = overlap_weight(self.wrong[own], self.over[own], self.o.max_mismatch_ratio)
+        return rows, quals if self.o.quality_scores else None, factors
+
+
+def _correct(o: Options, forests: tuple[Forest | None, Forest | None]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            p = Piled(batch, o)
             out: dict[str, list] = {k: [] for k in ("read_id", "kind", "hq", "shift", "seq")}
-            ids = batch.column(0).to_pylist()
-            anchors = [s.encode() for s in batch.column(1).to_pylist()]
-            quals = [q.encode() for q in batch.column(2).to_pylist()]
-            lists = batch.column(3)
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat_list = lists.flatten()
-            cid = flat_list.field("id").to_pylist()
-            cseq = [s.encode() for s in flat_list.field("seq").to_pylist()]
-            cqual = [q.encode() for q in flat_list.field("qual").to_pylist()]
-            paired = flat_list.field("paired").to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(ids)), np.diff(starts))
-            # All pairs of the batch are aligned together, by blocks of like lengths.
-            la = np.array([len(anchors[i]) for i in owner], np.int64)
-            lc = np.array([len(s) for s in cseq], np.int64)
-            usable, flipped = np.zeros(len(cid), bool), np.zeros(len(cid), bool)
-            shift, over, wrong = (np.zeros(len(cid), np.int64) for _ in range(3))
-            size = -(-np.maximum(la, lc) // 128)
-            for g in np.unique(size):
-                group = np.flatnonzero(size == g)
-                for at in range(0, len(group), 20_000):
-                    rows = group[at : at + 20_000]
-                    a = _stack([anchors[owner[r]] for r in rows])
-                    c = _stack([cseq[r] for r in rows])
-                    rc = K.reverse_complement(c, lc[rows])
-                    rc[np.arange(rc.shape[1]) >= lc[rows][:, None]] = 0
-                    args = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
-                    f, r = align(a, la[rows], c, lc[rows], *args), align(a, la[rows], rc, lc[rows], *args)
-                    ok, rev = orient(f, r, la[rows], most, o.min_overlap, o.min_overlap_ratio)
-                    usable[rows], flipped[rows] = ok, rev
-                    for target, i in ((shift, 1), (over, 2), (wrong, 3)):
-                        target[rows] = np.where(rev, r[i], f[i])
-            for i, anchor in enumerate(anchors):
-                own = np.arange(starts[i], starts[i + 1])
-                own = own[usable[own]]
+
+            def add(*values, out=out) -> None:
+                for k, v in zip(out, values):
+                    out[k].append(v)
+
+            for i in range(len(p.ids)):
+                own = p.kept(i)
                 if not len(own):
                     continue
-                ratio = wrong[own] / over[own]
-                if o.pair_mode == "PE":
-                    own = own[paired[own] | (ratio < o.error_factor)]
-                else:
-                    own = own[ratio < mismatch_limit(ratio, o.error_factor, o.coverage, o.coverage_factor)]
-                if not len(own):
+                rows, quals, factors = p.pile(i, own)
+                seq, high, keep, columns = correct_anchor(rows, p.shift[own], factors, quals, o, forests[0])
+                add(p.ids[i], "anchor", high, 0, seq.tobytes().decode())
+                if not (high and o.correct_candidates):
                     continue
-                rows = [np.frombuffer(anchor, np.uint8)]
-                q = [np.frombuffer(quals[i], np.uint8)]
-                for c in own:
-                    s, w = np.frombuffer(cseq[c], np.uint8), np.frombuffer(cqual[c], np.uint8)
-                    rows.append(K._COMPLEMENT[s[::-1]] if flipped[c] else s)
-                    q.append(w[::-1] if flipped[c] else w)
-                factors = overlap_weight(wrong[own], over[own], o.max_mismatch_ratio)
-                seq, high, keep, columns = correct_anchor(rows, shift[own], factors, q if o.quality_scores else None, o)
-                for k, v in (("read_id", ids[i]), ("kind", "anchor"), ("hq", high), ("shift", 0), ("seq", seq.tobytes().decode())):
-                    out[k].append(v)
-                if high and o.correct_candidates:
-                    for j in keep:
-                        c = own[j]
-                        begin = columns.begin + shift[c]
-                        end = begin + lc[c]
-                        if abs(shift[c]) <= o.candidate_columns and end <= columns.end + o.candidate_columns:
-                            text = _LETTERS[columns.consensus[begin:end]]
-                            text = K._COMPLEMENT[text[::-1]] if flipped[c] else text
-                            for k, v in (("read_id", cid[c]), ("kind", "candidate"), ("hq", False), ("shift", int(shift[c])), ("seq", text.tobytes().decode())):
-                                out[k].append(v)
+                for j in keep:
+                    c = own[j]
+                    begin = columns.begin + p.shift[c]
+                    end = begin + p.length[c]
+                    if abs(p.shift[c]) <= o.candidate_columns and end <= columns.end + o.candidate_columns:
+                        text = _LETTERS[columns.consensus[begin:end]]
+                        if o.correction_type_candidates == 1 and forests[1] is not None:
+                            text = forests[1].decide(text, rows[j + 1], candidate_features(columns, rows[j + 1], begin, o))
+                        text = K._COMPLEMENT[text[::-1]] if p.flipped[c] else text
+                        add(p.candidates[c], "candidate", False, int(p.shift[c]), text.tobytes().decode())
             yield pa.RecordBatch.from_arrays([pa.array(out["read_id"], pa.int64()), pa.array(out["kind"], pa.string()), pa.array(out["hq"], pa.bool_()), pa.array(out["shift"], pa.int32()), pa.array(out["seq"], pa.string())], list(out))
 
     return run
 
 
+def _alignments(o: Options):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = Piled(batch, o)
+            rows = np.flatnonzero(p.usable)
+            kept = np.zeros(len(p.usable), bool)
+            for i in range(len(p.ids)):
+                kept[p.kept(i)] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p.ids[p.owner[r]] for r in rows], pa.int64()), pa.array([p.candidates[r] for r in rows], pa.int64()), pa.array(p.flipped[rows]), *(pa.array(x[rows].astype(np.int32)) for x in (p.shift, p.over, p.wrong)), pa.array(kept[rows])],
+                ["read_id", "candidate", "reverse", "shift", "overlap", "mismatches", "kept"],
+            )
+
+    return run
+
+
+def _features(o: Options):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = Piled(batch, o)
+            out: dict[str, list] = {k: [] for k in ("read_id", "kind", "pos", "consensus", "features")}
+            for i in range(len(p.ids)):
+                own = p.kept(i)
+                if not len(own):
+                    continue
+                rows, quals, factors = p.pile(i, own)
+                keep, columns = selected_columns(rows, p.shift[own], factors, quals, o)
+                found = []
+                if not quality_of(columns, o)[1]:
+                    found.append((p.ids[i], "anchor", rows[0], columns.begin, False, anchor_features(columns, rows[0], o)))
+                for j in keep:
+                    begin = columns.begin + p.shift[own[j]]
+                    if begin >= columns.begin - o.candidate_columns and begin + p.length[own[j]] <= columns.end + o.candidate_columns:
+                        found.append((p.candidates[own[j]], "candidate", rows[j + 1], begin, bool(p.flipped[own[j]]), candidate_features(columns, rows[j + 1], begin, o)))
+                for read, kind, row, begin, flipped, values in found:
+                    consensus = columns.consensus[begin : begin + len(row)]
+                    for pos in np.flatnonzero(_INDEX[row] != consensus):
+                        for k, v in zip(out, (read, kind, int(-pos - 1 if flipped else pos), chr(_LETTERS[consensus[pos]]), values[pos].tolist())):
+                            out[k].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["read_id"], pa.int64()), pa.array(out["kind"], pa.string()), pa.array(out["pos"], pa.int32()), pa.array(out["consensus"], pa.string()), pa.array(out["features"], pa.list_(pa.float64()))], list(out))
+
+    return run
+
+
 def _stack(rows: list[bytes]) -> np.ndarray:
     length = np.array([len(r) for r in rows], np.int64)
     offsets = np.concatenate([[0], np.cumsum(length)])
@@ -377,13 +476,8 @@ def _stack(rows: list[bytes]) -> np.ndarray:
     return matrix(text, offsets, np.arange(n), np.zeros(n, np.int64), length, max(1, int(length.max(initial=0))))
 
 
-def corrections(reads: DataFrame, options: Options = Options()) -> DataFrame:
-    """read_id, kind (anchor, candidate), hq, shift, seq of every correction found.
-
-    Needs read_id, seq, qual (each read once). Ambiguous reads can be left out by an option. Without candidates a read
-    has no correction; an empty table gives none.
-    """
-    o = options
+def piles(reads: DataFrame, o: Options) -> DataFrame:
+    """read_id, seq, qual and the candidates of every anchor that has some; at most hashmaps * bucket_limit of them."""
     ready = prepared(reads)
     if o.exclude_ambiguous:
         ready = ready.filter(~F.col("ambiguous"))
@@ -394,10 +488,30 @@ def corrections(reads: DataFrame, options: Options = Options()) -> DataFrame:
     pairs = paired_flags(pairs) if o.pair_mode == "PE" else pairs.withColumn("paired", F.lit(False))
     qual = quality_bin("qual", o.quality_bits, o.phred)
     own = ready.select(F.col("read_id").alias("candidate"), F.col("seq").alias("cseq"), qual.alias("cqual"))
-    # At most hashmaps * bucket_limit candidates an anchor.
     grouped = pairs.join(own, "candidate").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct(F.col("candidate").alias("id"), F.col("cseq").alias("seq"), F.col("cqual").alias("qual"), "paired"))).alias("c"))
-    rows = anchors.select("read_id", "seq", qual.alias("qual")).join(grouped, "read_id")
-    return rows.mapInArrow(_correct(o), "read_id bigint, kind string, hq boolean, shift int, seq string")
+    return anchors.select("read_id", "seq", qual.alias("qual")).join(grouped, "read_id")
+
+
+def corrections(reads: DataFrame, options: Options = Options(), anchor_forest: Forest | None = None, candidate_forest: Forest | None = None) -> DataFrame:
+    """read_id, kind (anchor, candidate), hq, shift, seq of every correction found.
+
+    Needs read_id, seq, qual (each read once). Ambiguous reads can be left out by an option. Without candidates a read
+    has no correction; an empty table gives none. With a forest and correction type 1, positions of anchors that are
+    not of high quality take the consensus where the forest says so.
+    """
+    return piles(reads, options).mapInArrow(_correct(options, (anchor_forest, candidate_forest)), "read_id bigint, kind string, hq boolean, shift int, seq string")
+
+
+def alignments(reads: DataFrame, options: Options = Options()) -> DataFrame:
+    """read_id, candidate, reverse, shift, overlap, mismatches of aligned candidates, and which agree enough to be kept."""
+    return piles(reads, options).mapInArrow(_alignments(options), "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int, kept boolean")
+
+
+def correction_features(reads: DataFrame, options: Options = Options()) -> DataFrame:
+    """Correction type 2: read_id, kind, pos, consensus, features of every position that differs from the consensus, in
+    anchors that are not of high quality and in candidates near an anchor; to train a forest with. Reverse candidates
+    have positions -pos - 1."""
+    return piles(reads, options).mapInArrow(_features(options), "read_id bigint, kind string, pos int, consensus string, features array<double>")
 
 
 def combined(found: DataFrame) -> DataFrame:

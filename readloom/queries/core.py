@@ -421,6 +421,17 @@ def cand_paired(spark, d):
     return correct.paired_flags(correct.candidate_pairs(_signatures(spark, d))).filter("paired")
 
 
+@query
+def align(spark, d):
+    return correct.alignments(se(spark, d, "qual"))
+
+
+@query
+def correction_features(spark, d):
+    """Positions that differ from the consensus; without the features, whose sums depend on the order of addition."""
+    return correct.correction_features(se(spark, d, "qual"), Options(correction_type=2)).drop("features")
+
+
 @query
 def corrections(spark, d):
     return correct.corrections(se(spark, d, "qual"), Options(correct_candidates=True))

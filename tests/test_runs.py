@@ -200,3 +200,79 @@ def test_stream_counts_each_read_once(spark, data, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("SELECT sum(reads) AS n FROM arrivals").first().n
     assert got == t.filter("arrived_at IS NOT NULL").select("read_id").distinct().count()
+
+
+def random_tree(n, depth):
+    """(nested, as arrays) of the same random tree."""
+    nodes = []
+
+    def make(d):
+        at = len(nodes)
+        nodes.append([R.randrange(n), R.random(), -1, -1, 0.0, 0.0])
+        for side in (0, 1):
+            if d and R.random() < 0.7:
+                nodes[at][2 + side] = make(d - 1)
+            else:
+                nodes[at][4 + side] = R.randrange(64) / 64
+        return at
+
+    make(depth)
+    return nodes
+
+
+def test_forest(tmp_path):
+    from readloom.operators import forest
+
+    raw = [random_tree(13, 6) for _ in range(7)]
+    trees = [forest.Tree(*(np.array(c, t) for c, t in zip(zip(*nodes), (int, float, int, int, float, float)))) for nodes in raw]
+    whole = forest.Forest(trees)
+    forest.write_forest(whole, str(tmp_path / "f"), 13)
+    back = forest.read_forest(str(tmp_path / "f"), 13)
+    rows = np.array([[R.random() for _ in range(13)] for _ in range(200)])
+
+    def walk(nodes, row, at=0):
+        side = 0 if row[nodes[at][0]] <= nodes[at][1] else 1
+        return nodes[at][4 + side] if nodes[at][2 + side] < 0 else walk(nodes, row, nodes[at][2 + side])
+
+    want = [sum(walk(n, r) for n in raw) / 7 for r in rows]
+    assert np.allclose(whole.probability(rows), want) and np.allclose(back.probability(rows), want)
+    assert len(forest.read_forest(str(tmp_path / "f"), 13, most_trees=2).trees) == 2
+    with pytest.raises(ValueError):
+        forest.read_forest(str(tmp_path / "f"), 14)
+    (tmp_path / "g").write_bytes((tmp_path / "f").read_bytes()[:-3])
+    with pytest.raises(ValueError):
+        forest.read_forest(str(tmp_path / "g"), 13)
+
+
+def test_forest_decides_corrections(spark):
+    from readloom.operators import forest
+
+    t, truth = noisy_reads(spark, 300, error=0.03)
+    one = lambda v: forest.Forest([forest.Tree(np.array([0]), np.array([0.5]), np.array([-1]), np.array([-1]), np.array([v]), np.array([v]))])
+    o = Options(correction_type=1)
+    source = {r.read_id: r.seq for r in t.collect()}
+    never = correct.corrections(t, o, one(0.0)).collect()
+    always = correct.corrections(t, o, one(1.0)).collect()
+    assert any(not r.hq for r in never)
+    assert all(r.seq == source[r.read_id] for r in never if not r.hq)
+    wrong = lambda rows: sum(a != b for r in rows for a, b in zip(r.seq, truth[r.read_id]))
+    assert wrong(always) < wrong(never)
+    features = correct.correction_features(t, Options(correction_type=2)).collect()
+    assert features and {len(r.features) for r in features} <= {13, 14}
+    assert all(r.consensus != source[r.read_id][r.pos] for r in features if r.kind == "anchor")
+    kept = correct.alignments(t).filter("kept").collect()
+    assert kept and all(r.overlap >= 30 and r.mismatches < 0.24 * r.overlap for r in kept)
+
+
+def test_all_queries_on_empty_tables(spark, data, tmp_path):
+    import os
+
+    from readloom.queries import core
+
+    for f in os.listdir(data):
+        if f.split(".")[0] in ("reads_se", "reads_pe", "long_reads", "fasta_records", "fasta_chunks", "raw_reads"):
+            spark.read.parquet(f"{data}/{f}").limit(0).write.parquet(str(tmp_path / f))
+        elif f == "adapters.parquet":
+            spark.read.parquet(f"{data}/{f}").write.parquet(str(tmp_path / f))
+    for f in core.queries().values():
+        f(spark, str(tmp_path)).collect()
