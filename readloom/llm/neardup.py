@@ -10,6 +10,7 @@ word sets. Records with the same sequence form a class that is represented once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import cache
 
 import numpy as np
@@ -86,7 +87,7 @@ def _bands(bands: int, rows: int, k: int):
     return run
 
 
-def _verify(k: int, threshold: float):
+def _verify(k: int, threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sim = [], [], []
@@ -97,7 +98,7 @@ def _verify(k: int, threshold: float):
                 wa, wb = kept[1], word_set(sb.as_buffer().to_pybytes(), k)
                 both = len(np.intersect1d(wa, wb, assume_unique=True))
                 either = len(wa) + len(wb) - both
-                if either and both >= threshold * either:
+                if either and both * threshold.denominator >= threshold.numerator * either:
                     a.append(ia)
                     b.append(ib)
                     sim.append(both / either)
@@ -146,10 +147,10 @@ class NearDuplicates:
         pairs = spread_self_join(banded, "bucket", "id")
         with_a = pairs.join(self.texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         with_both = with_a.join(self.texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        self.links = materialize(with_both.mapInArrow(_verify(k, threshold), "a bigint, b bigint, similarity double"))
+        self.links = materialize(with_both.mapInArrow(_verify(k, Fraction(str(threshold))), "a bigint, b bigint, similarity double"))
         self.k = k
 
-    def pairs(self, text_letters: int | None = None) -> DataFrame:
+    def pairs(self) -> DataFrame:
         """(id_a, id_b) of all similar records, copies expanded; asked for only where the result is pairs."""
         m = self.members.select("id", "class_id")
         across = self.links.select("a", "b").join(m.select(F.col("class_id").alias("a"), F.col("id").alias("x")), "a").join(m.select(F.col("class_id").alias("b"), F.col("id").alias("y")), "b").select("x", "y")

@@ -71,7 +71,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_intervals, p5_found, p5_words, p6_found, p6_groups, p7_packed, p7_fill, p8_selection, p8_shares, p9_found, p9_clean)}
 
 
-_ONCE = "once AS (SELECT DISTINCT read_id, upper(trim(seq, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS seq FROM reads_se)"
+_CLEAN = "upper(trim(seq, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
+_ONCE = f"once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM reads_se)"
 _WORDS = f"""{_ONCE},
  total AS (SELECT count(*) AS n FROM (SELECT DISTINCT read_id FROM reads_se)),
  places AS (SELECT read_id, substr(seq, CAST(i AS BIGINT), 6) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM once)),
@@ -86,6 +87,11 @@ def oracle_sql() -> dict[str, str]:
  running AS (SELECT chunk_id, gid, max_bases, sum(n) OVER (PARTITION BY chunk_id ORDER BY gid) AS upto FROM chunks JOIN recs ON recs.file_no = chunks.file_no AND gid BETWEEN s AND e)
 SELECT chunk_id, min(gid) AS gid FROM running WHERE upto > max_bases GROUP BY chunk_id""",
         "p2_found": f"WITH {_ONCE} SELECT seq FROM once WHERE seq <> '' GROUP BY seq ORDER BY count(*) DESC LIMIT 20",
+        "p6_found": f"""WITH once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM long_reads WHERE seq IS NOT NULL),
+ w AS (SELECT DISTINCT read_id, substr(seq, CAST(i AS BIGINT), 12) AS k FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 10)) AS i FROM once) WHERE NOT regexp_matches(substr(seq, CAST(i AS BIGINT), 12), '[^ACGT]')),
+ n AS (SELECT read_id, count(*) AS n FROM w GROUP BY read_id),
+ p AS (SELECT a.read_id AS x, b.read_id AS y, count(*) AS c FROM w AS a JOIN w AS b ON a.k = b.k AND a.read_id < b.read_id GROUP BY ALL)
+SELECT x AS read_id_a, y AS read_id_b FROM p JOIN n AS nx ON nx.read_id = x JOIN n AS ny ON ny.read_id = y WHERE c * 10 >= 6 * (nx.n + ny.n - c)""",
         "p5_found": f"WITH {_WORDS} SELECT kmer, mark FROM marked WHERE mark IS NOT NULL",
         "p5_words": f"WITH {_WORDS} SELECT kmer, occurrences, reads, mark FROM marked",
     }

@@ -102,3 +102,21 @@ def test_given_table(spark, data):
     t = spark.read.parquet(f"{data}/long_reads.parquet")
     rows = [tuple(r) for r in t.select("read_id", "seq").distinct().collect()]
     assert {tuple(r) for r in neardup.similar_reads(t).pairs().collect()} == brute(rows)
+
+
+def test_equals_sql(spark):
+    from readloom.llm import queries
+    from tests.oracle import same
+
+    same(spark, "/root/testdata/sf0.01", queries.queries()["p6_found"], queries.oracle_sql()["p6_found"])
+
+
+def test_threshold_is_exact(spark):
+    """Sets of 5 words with 3 in common lie at the limit of 60 % in any case."""
+    base = dna(13)
+    rows = [(1, base), (2, base[:12] + ("A" if base[12] != "A" else "C"))]
+    assert brute(rows) == set() and neardup.similar_reads(frame(spark, rows)).pairs().count() == 0
+    for n in (4, 16, 40):  # n common words of n + n * 2/3 in all
+        common = dna(n + 11)
+        rows = [(1, common), (2, common + dna(2 * n // 3))]
+        assert {tuple(r) for r in neardup.similar_reads(frame(spark, rows)).pairs().collect()} == brute(rows)
