@@ -48,14 +48,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables that this process has written to the shared folder.
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write a compressed table to the shared folder and read it back; smaller than a checkpoint and columnar."""
+    """Write a compressed table to the shared folder and read it back; smaller than a checkpoint and columnar.
+
+    It stays until `drop_written` is called, since later plans read it.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/readloom-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that `written` left; results made from them can't be computed again. How many there were."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast only behind a check of the counted size; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

@@ -61,20 +61,29 @@ def fastq_lines(reads: DataFrame) -> DataFrame:
 def bounded_head(reads: DataFrame, size: Column, most_rows: int, most_size: int) -> DataFrame:
     """The first reads in file order, up to and including the one that reaches either limit.
 
-    Sums of blocks of ids come first, so only the last block is sorted, and the scan is bounded by a range of ids.
+    read_id is the ordinal in the file, so the head lies below some id. The bound is searched in growing steps, each
+    a filter on ids that reaches the scan: a long file is never read to its end. Then sums of blocks of ids come
+    first and only the last block is sorted.
     """
     from pyspark.sql import Window as W
 
+    bound, seen = 1 << 18, -1
+    while True:
+        below = reads.filter(F.col("read_id") < bound)
+        n, total = below.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        if n >= most_rows or total >= most_size:
+            break
+        # A step that found nothing new, and the first one, look whether anything is left at all.
+        if seen in (-1, n) and (bound >= 1 << 58 or reads.filter(F.col("read_id") >= bound).limit(1).count() == 0):
+            return reads
+        bound, seen = bound << 4, n
     block = F.floor(F.col("read_id") / 65536)
-    sums = reads.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("s"))
-    upto = W.orderBy("b")  # one row for each 65536 ids
+    sums = below.groupBy(block.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("s"))
+    upto = W.orderBy("b")  # one row for each 65536 ids of the head
     sums = sums.withColumns({"n1": F.sum("n").over(upto), "s1": F.sum("s").over(upto)})
-    reached = sums.filter((F.col("n1") >= most_rows) | (F.col("s1") >= most_size)).agg(F.min("b").alias("b")).first()["b"]
-    if reached is None:
-        return reads
-    before = sums.filter(F.col("b") < reached).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s")).first()
-    head = reads.filter(F.col("read_id") < reached * 65536)
-    last = reads.filter((F.col("read_id") >= reached * 65536) & (F.col("read_id") < (reached + 1) * 65536))
+    last = sums.filter((F.col("n1") >= most_rows) | (F.col("s1") >= most_size)).orderBy("b").select("b", (F.col("n1") - F.col("n")).alias("n"), (F.col("s1") - F.col("s")).alias("s")).first()
+    head = reads.filter(F.col("read_id") < last["b"] * 65536)
+    edge = reads.filter((F.col("read_id") >= last["b"] * 65536) & (F.col("read_id") < (last["b"] + 1) * 65536))
     order = W.orderBy("read_id").rowsBetween(W.unboundedPreceding, -1)  # one block of ids
-    counted = last.withColumns({"__n": F.count(F.lit(1)).over(order) + before["n"], "__s": F.coalesce(F.sum(size).over(order), F.lit(0)) + before["s"]})
+    counted = edge.withColumns({"__n": F.count(F.lit(1)).over(order) + last["n"], "__s": F.coalesce(F.sum(size).over(order), F.lit(0)) + last["s"]})
     return head.unionByName(counted.filter((F.col("__n") < most_rows) & (F.col("__s") < most_size)).drop("__n", "__s"))

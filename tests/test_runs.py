@@ -276,3 +276,12 @@ def test_all_queries_on_empty_tables(spark, data, tmp_path):
             spark.read.parquet(f"{data}/{f}").write.parquet(str(tmp_path / f))
     for f in core.queries().values():
         f(spark, str(tmp_path)).collect()
+
+
+def test_written_tables_can_be_dropped(spark):
+    from readloom import common
+
+    df = common.written(spark.range(10), "test")
+    assert df.count() == 10 and common.drop_written(spark) >= 1 and common.drop_written(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
