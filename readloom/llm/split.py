@@ -73,18 +73,19 @@ def whole_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def letters(records: DataFrame) -> DataFrame:
+    """file_no, gid and the letters of seq, as delivered."""
+    return records.filter("gid IS NOT NULL").select("file_no", "gid", F.regexp_replace(F.coalesce(F.col("seq"), F.lit("")), "[^A-Za-z]", "").alias("bases"))
+
+
 def chunk_records(chunks: DataFrame, records: DataFrame) -> DataFrame:
-    """(chunk, gid, bases) of the records from start to end in the chunk's file, joined by blocks of gids.
+    """(chunk, gid, n) of the records from start to end in the chunk's file, n bases each, joined by blocks of gids.
 
-    However long a chunk is, its records meet it block by block, so no task takes a whole chunk or file.
+    Only numbers move here. However long a chunk is, its records meet it block by block, so no task takes a whole
+    chunk or file.
     """
     block = lambda c: F.floor(c / BLOCK)
-    kept = (
-        records.select("file_no", "gid", F.regexp_replace(F.coalesce(F.col("seq"), F.lit("")), "[^A-Za-z]", "").alias("bases"))
-        .filter("gid IS NOT NULL")
-        .distinct()
-        .withColumn("block", block(F.col("gid")))
-    )
+    kept = letters(records).select("file_no", "gid", F.length("bases").cast("bigint").alias("n")).distinct().withColumn("block", block(F.col("gid")))
     # A chunk is laid only over the gids that its file has.
     files = kept.groupBy("file_no").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
     laid = (
@@ -97,6 +98,12 @@ def chunk_records(chunks: DataFrame, records: DataFrame) -> DataFrame:
     return laid.join(kept, ["file_no", "block"]).filter(F.col("gid").between(F.col("start"), F.col("end")))
 
 
+def marked(row: Column) -> Column:
+    """A record's letters in upper case, its last one in lower case."""
+    text = row["piece"]
+    return F.when(row["last"], F.concat(F.upper(F.substr(text, F.lit(1), F.length(text) - 1)), F.lower(F.right(text, F.lit(1))))).otherwise(F.upper(text))
+
+
 def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     """Ordered pieces of every chunk: chunk_id, segment, piece, start, fresh, n_bases, first_gid, last_gid, bases.
 
@@ -112,12 +119,14 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     A chunk of any size is cut in segments by its running total of bases, found in two levels (sums of blocks of
     gids, then inside a block), so no task holds a chunk. All segments but the last hold at least 14 * max_bases.
     """
-    rows = chunk_records(chunks, records).select("chunk_id", "block", "gid", "bases", "max_bases", "halo", F.length("bases").cast("bigint").alias("n"))
+    rows = chunk_records(chunks, records).select("chunk_id", "file_no", "block", "gid", "n", "max_bases", "halo")
     sums = rows.groupBy("chunk_id", "block").agg(F.sum("n").alias("in_block"))
     before = F.sum("in_block").over(W.partitionBy("chunk_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select("chunk_id", "block", F.coalesce(before, F.lit(0)).alias("before_block"))
     inside = F.sum("n").over(W.partitionBy("chunk_id", "block").orderBy("gid").rowsBetween(W.unboundedPreceding, -1))
     rows = rows.join(sums, ["chunk_id", "block"]).withColumn("before", F.col("before_block") + F.coalesce(inside, F.lit(0))).filter("n > 0")
+    # The bases move twice: to their place here, where a record delivered again is dropped, and to their segment.
+    rows = rows.join(letters(records).dropDuplicates(["file_no", "gid"]), ["file_no", "gid"])
     size = F.greatest(F.lit(SEGMENT), 16 * F.col("max_bases"))
     # Records longer than an eighth of a segment go on in several rows; only the last ends a record.
     step = (size / 8).cast("int")
@@ -126,12 +135,11 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     piece = F.substr(F.col("bases"), at + 1, step)
     last = at + F.length("piece") >= F.col("n")
     rows = rows.withColumn("piece", piece).withColumn("at", F.col("before") + at)
-    marked = F.when(last, F.concat(F.upper(F.substr("piece", F.lit(1), F.length("piece") - 1)), F.lower(F.right("piece", F.lit(1))))).otherwise(F.upper("piece"))
     segments = (
-        rows.withColumn("marks", marked)
+        rows.withColumn("last", last)
         .groupBy("chunk_id", F.floor(F.col("at") / F.col("size")).alias("segment"), "max_bases", "halo")
-        .agg(F.min("at").alias("origin"), F.array_sort(F.collect_list(F.struct("at", "gid", "piece", "marks"))).alias("r"))
-        .select("chunk_id", "segment", "max_bases", F.least("halo", F.col("max_bases") - 1).alias("halo"), "origin", F.transform("r", lambda x: F.struct(x["at"].alias("at"), x["gid"].alias("gid"))).alias("places"), F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("bases"), F.array_join(F.transform("r", lambda x: x["marks"]), "").alias("marks"))
+        .agg(F.min("at").alias("origin"), F.array_sort(F.collect_list(F.struct("at", "gid", "piece", "last"))).alias("r"))
+        .select("chunk_id", "segment", "max_bases", F.least("halo", F.col("max_bases") - 1).alias("halo"), "origin", F.transform("r", lambda x: F.struct(x["at"].alias("at"), x["gid"].alias("gid"))).alias("places"), F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("bases"), F.array_join(F.transform("r", marked), "").alias("marks"))
     )
     tails = segments.select("chunk_id", (F.col("segment") + 1).alias("segment"), F.right("bases", F.col("halo").cast("int")).alias("tail"))
     whole = segments.join(tails, ["chunk_id", "segment"], "left").withColumn("tail", F.coalesce("tail", F.lit("")))
