@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.common import clean_seq, materialize
+from readloom.common import broadcast_if_small, clean_seq, materialize, written
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
 
+#: Ids that are broadcast at most (8 bytes each); more of them are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
 #: Rows of a class or bucket beyond which its join work is spread over several tasks.
 HOT = 2000
 
@@ -134,19 +137,24 @@ class NearDuplicates:
     """
 
     def __init__(self, df: DataFrame, id_col: str, text: str, k: int = 12, threshold: float = 0.6, bands: int = 40, rows: int = 3) -> None:
-        once = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).dropna().distinct()
-        keyed = once.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-        classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+        once = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).dropna().distinct()
+        # Written once: the texts shuffle here only, and most of what follows reads just the numbers.
+        once = written(once.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}), "texts")
+        classes = once.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
         # Only classes with copies are joined back, each with 16 salts: a hot class's members meet it in 16 tasks.
         copied = classes.filter(F.col("copies") > 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        ids = keyed.select("id", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
+        ids = once.select("id", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
         self.members = materialize(ids.join(copied, ["h1", "h2", "salt"], "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies")))
-        leaders = self.members.filter(F.col("id") == F.col("class_id")).select("id")
-        self.texts = once.join(leaders, "id").select("id", F.col("text").cast("binary").alias("text"))
-        banded = self.texts.mapInArrow(_bands(bands, rows, k), "id bigint, bucket bigint")
-        pairs = spread_self_join(banded, "bucket", "id")
-        with_a = pairs.join(self.texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        with_both = with_a.join(self.texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        self.texts = once.select("id", F.col("text").cast("binary").alias("text"))
+        copies = self.members.filter(F.col("id") != F.col("class_id")).select("id")
+        leaders = self.texts.join(broadcast_if_small(copies, copies.count(), BROADCAST_IDS), "id", "left_anti")
+        banded = leaders.mapInArrow(_bands(bands, rows, k), "id bigint, bucket bigint")
+        pairs = materialize(spread_self_join(banded, "bucket", "id"))
+        # Only texts of some pair move to their partners.
+        paired = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        texts = self.texts.join(broadcast_if_small(paired, paired.count(), BROADCAST_IDS), "id")
+        with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         self.links = materialize(with_both.mapInArrow(_verify(k, Fraction(str(threshold))), "a bigint, b bigint, similarity double"))
         self.k = k
 

@@ -85,6 +85,13 @@ def test_hot_bucket_is_cut_and_complete(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_without_broadcast(spark, data, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    t = spark.read.parquet(f"{data}/long_reads.parquet")
+    rows = [tuple(r) for r in t.select("read_id", "seq").distinct().collect()]
+    assert {tuple(r) for r in neardup.similar_reads(t).pairs().collect()} == brute(rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).unionByName(spark.range(300).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")))
     got = neardup.components(edges).collect()
