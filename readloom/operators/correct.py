@@ -440,6 +440,24 @@ def _alignments(o: Options):
     return run
 
 
+def _consensus(o: Options):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = Piled(batch, o)
+            rows_out = []
+            for i in range(len(p.ids)):
+                own = p.kept(i)
+                if len(own):
+                    rows, quals, factors = p.pile(i, own)
+                    keep, c = selected_columns(rows, p.shift[own], factors, quals, o)
+                    rows_out.append((p.ids[i], len(keep), -c.begin, _LETTERS[c.consensus].tobytes().decode(), c.support.round(9).tolist(), c.coverage.tolist(), *quality_of(c, o)))
+            names = ["read_id", "reads", "begin", "consensus", "support", "coverage", "trusted", "hq"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows_out], k) for j, k in enumerate(kinds)], names)
+
+    return run
+
+
 def _features(o: Options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -507,6 +525,12 @@ def alignments(reads: DataFrame, options: Options = Options()) -> DataFrame:
     return piles(reads, options).mapInArrow(_alignments(options), "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int, kept boolean")
 
 
+def consensus_columns(reads: DataFrame, options: Options = Options()) -> DataFrame:
+    """Per anchor with kept candidates: how many, first column (0 is the anchor's first base), consensus, support and coverage
+    of every column, and whether the consensus can be trusted and is of high quality."""
+    return piles(reads, options).mapInArrow(_consensus(options), "read_id bigint, reads int, begin int, consensus string, support array<double>, coverage array<int>, trusted boolean, hq boolean")
+
+
 def correction_features(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """Correction type 2: read_id, kind, pos, consensus, features of every position that differs from the consensus, in
     anchors that are not of high quality and in candidates near an anchor; to train a forest with. Reverse candidates

@@ -426,6 +426,11 @@ def align(spark, d):
     return correct.alignments(se(spark, d, "qual"))
 
 
+@query
+def consensus(spark, d):
+    return correct.consensus_columns(se(spark, d, "qual"))
+
+
 @query
 def correction_features(spark, d):
     """Positions that differ from the consensus; without the features, whose sums depend on the order of addition."""

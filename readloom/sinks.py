@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,33 @@ def write_interleaved(pairs: DataFrame, path: str, keep_order: bool = True, gzip
     _save(pairs.select("read_id", both.alias("record")), path, ["read_id"] if keep_order else None, gzip, overwrite, level)
 
 
+def save_snapshot(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Prepared reads, signatures or candidates, to go on from later."""
+    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+
+
+def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def name_prefix(path: str) -> str:
+    """The file's name without folders and endings, for the names of outputs."""
+    name = path.rstrip("/").rpartition("/")[2]
+    for ending in (".gz", ".fastq", ".fq", ".fasta", ".fa"):
+        name = name.removesuffix(ending)
+    return name
+
+
+def summary_text(totals: DataFrame, codes: DataFrame | None = None) -> str:
+    """The totals (one row) and the filter's counts as lines of text."""
+    lines = [f"{k.replace('_', ' ')} {v}" for k, v in totals.first().asDict().items()]
+    names = {0: "passed", 1: "too many N", 2: "too short", 3: "too long", 4: "low quality"}
+    if codes is not None:
+        found = {r["code"]: r["reads"] for r in codes.collect()}
+        lines += [f"{text} {found.get(code, 0)}" for code, text in names.items()]
+    return "\n".join(lines)
+
+
 def summary_html(tables: dict[str, DataFrame], most_rows: int = 1000) -> str:
     """A plain page of the report's tables. Reports are small; a table is shown up to `most_rows` rows."""
     import html

@@ -260,6 +260,10 @@ def test_forest_decides_corrections(spark):
     features = correct.correction_features(t, Options(correction_type=2)).collect()
     assert features and {len(r.features) for r in features} <= {13, 14}
     assert all(r.consensus != source[r.read_id][r.pos] for r in features if r.kind == "anchor")
+    for r in correct.consensus_columns(t).collect():
+        assert len(r.consensus) == len(r.support) == len(r.coverage) and r.begin <= 0
+        own = r.coverage[-r.begin : -r.begin + 100]
+        assert len(own) == 100 and min(own) >= 1 and max(own) <= r.reads + 1 and all(0.25 <= x <= 1 for x in r.support)
     kept = correct.alignments(t).filter("kept").collect()
     assert kept and all(r.overlap >= 30 and r.mismatches < 0.24 * r.overlap for r in kept)
 

@@ -86,6 +86,11 @@ def test_run_from_files(spark, tmp_path):
     assert len(kept) == 20 and {r.name for r in kept} == {f"@r{i}" for i in range(20)}
     n = {r.code: r.reads for r in result.tables["filter"].collect()}
     assert sum(n.values()) == 22 and n[0] == 20
+    text = sinks.summary_text(result.tables["before_totals"], result.tables["filter"])
+    assert "reads 22" in text and "passed 20" in text
+    sinks.save_snapshot(result.passed, str(tmp_path / "snap"))
+    assert sinks.load_snapshot(spark, str(tmp_path / "snap")).count() == 20
+    assert [sinks.name_prefix(x) for x in ("/a/b.x.fq.gz", "c.fasta", "d/")] == ["b.x", "c", "d"]
     assert "<table>" in sinks.summary_html({"filter": result.tables["filter"]})
 
 
