@@ -48,8 +48,11 @@ def word_set(seq: bytes, k: int) -> np.ndarray:
 @cache
 def _second_permutation(bits: int, seed: int, coordinates: int) -> np.ndarray:
     """Of the universe of 2^bits words, continued at its end by its beginning; made once per Python worker."""
-    p = np.random.default_rng(seed).permutation(np.arange(1 << bits, dtype=np.uint32))
-    return np.concatenate([p, p[:coordinates]])
+    size = 1 << bits
+    p = np.arange(size + coordinates, dtype=np.uint32)
+    np.random.default_rng(seed).shuffle(p[:size])
+    p[size:] = p[:coordinates]
+    return p
 
 
 def _first_permutation(words: np.ndarray, bits: int, seed: int) -> np.ndarray:
@@ -148,7 +151,8 @@ class NearDuplicates:
         self.texts = once.select("id", F.col("text").cast("binary").alias("text"))
         copies = self.members.filter(F.col("id") != F.col("class_id")).select("id")
         leaders = self.texts.join(broadcast_if_small(copies, copies.count(), BROADCAST_IDS), "id", "left_anti")
-        banded = leaders.mapInArrow(_bands(bands, rows, k), "id bigint, bucket bigint")
+        # Written once: bucket sizes and the join both read it, and signatures are the costly part.
+        banded = written(leaders.mapInArrow(_bands(bands, rows, k), "id bigint, bucket bigint"), "bands")
         pairs = materialize(spread_self_join(banded, "bucket", "id"))
         # Only texts of some pair move to their partners.
         paired = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
