@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The codec's names of the levels 1 to 9.
+_LEVELS = ("BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION")
+
+
 def _save(records: DataFrame, path: str, order: list[str] | None, gzip: bool, overwrite: bool, level: int) -> None:
     rows = records.orderBy(*order) if order else records
     writer = rows.select("record").write.mode("overwrite" if overwrite else "errorifexists")
     if gzip:
-        writer = writer.option("compression", "gzip").option("zlib.compress.level", str(level))
+        writer = writer.option("compression", "gzip").option("zlib.compress.level", _LEVELS[level - 1])
     writer.text(path)
 
 
