@@ -169,6 +169,42 @@ def _bins(edges: tuple[int, ...]) -> str:
     return f"translate(qual, {quote(source)}, {quote(target)})"
 
 
+#: Both ends with 2 bases off the front and 1 off the tail.
+_CUT_BOTH = f"""WITH {SE}, a AS (SELECT *, length(seq) AS n, coalesce(list_filter(range(2, greatest(2, length(seq) - 5)), lambda s: {_sum4('s')} >= 212)[1], length(seq) - 5) AS s0 FROM se),
+ b AS (SELECT *, CASE WHEN s0 > 0 THEN s0 + 3 ELSE s0 END AS s1 FROM a),
+ c AS (SELECT *, s1 + length(regexp_extract(substr(seq, CAST(greatest(s1, 0) + 1 AS BIGINT)), '^N*')) AS s2, n - 7 > 0 AS ok1 FROM b),
+ d AS (SELECT *, ok1 AND n - s2 - 5 > 0 AS ok2, coalesce(list_max(list_filter(range(s2 + 4, greatest(s2 + 4, n - 1)), lambda t: {_sum4('t - 3')} >= 212)), s2 + 3) - 3 AS t1 FROM c),
+ e AS (SELECT *, length(rtrim(substr(seq, 1, CAST(greatest(t1, -1) + 1 AS BIGINT)), 'N')) - s2 AS kept FROM d),
+ f AS (SELECT *, ok2 AND kept > 0 AND s2 < n - 1 AS ok FROM e)
+SELECT read_id, CASE WHEN ok THEN substr(seq, CAST(s2 + 1 AS BIGINT), CAST(greatest(kept, 0) AS BIGINT)) ELSE seq END AS seq, CASE WHEN ok THEN substr(qual, CAST(s2 + 1 AS BIGINT), CAST(greatest(kept, 0) AS BIGINT)) ELSE qual END AS qual, ok AS trimmed_ok FROM f"""
+
+_SPAN = "CAST(least(length(x) - p, length(y)) - greatest(0, -p) AS BIGINT)"
+#: Each adapter of the sorted list in turn; with 17 to 256 of them five bases must match.
+_ADAPTERS = f"""WITH {SE}, ad AS (SELECT list_sort(list(DISTINCT upper(trim(seq)))) AS l FROM adapters),
+ cut AS (SELECT read_id, seq, list_reduce(list_concat([seq], l), lambda x, y: substr(x, 1, CAST(greatest(0, coalesce(list_filter(
+   range(CASE WHEN length(y) >= 16 THEN -4 WHEN length(y) >= 12 THEN -3 WHEN length(y) >= 8 THEN -2 ELSE 0 END, length(x) - 5), lambda p:
+   {_SPAN} > 0 AND hamming(substr(x, CAST(greatest(p, 0) + 1 AS BIGINT), {_SPAN}), substr(y, CAST(greatest(0, -p) + 1 AS BIGINT), {_SPAN})) <= least(length(x) - p, length(y)) // 8)[1], length(x))) AS BIGINT))) AS kept FROM se, ad)
+SELECT read_id, kept AS seq, CAST(length(seq) - length(kept) AS BIGINT) AS removed FROM cut"""
+
+_PLAIN = f"""WITH {SE}, u AS (SELECT read_id, upper(seq) AS u FROM se)
+SELECT read_id, regexp_matches(u, '[^ACGT]') AS ambiguous, array_to_string(list_transform(range(1, length(u) + 1), lambda i: CASE WHEN substr(u, CAST(i AS BIGINT), 1) IN ('A', 'C', 'G', 'T') THEN substr(u, CAST(i AS BIGINT), 1)
+  ELSE substr('ACGT', CAST(1 + (length(regexp_replace(substr(u, 1, CAST(i AS BIGINT)), '[ACGT]', '', 'g')) - 1) % 4 AS BIGINT), 1) END), '') AS seq FROM u"""
+
+
+def _mended(own: int) -> str:
+    """Bases, qualities and number of corrections of one mate by the other; j is its place from 1, i the place in the overlap."""
+    other = 3 - own
+    i = "(j - 1 - greatest(o, 0))" if own == 1 else "(n2 - greatest(-o, 0) - j)"
+    there = f"(n2 - greatest(-o, 0) - {i})" if own == 1 else f"(greatest(o, 0) + {i} + 1)"
+    pair = "translate({}, 'ACGTacgt', 'TGCATGCA')"
+    mine, its = f"substr(s{own}, CAST(j AS BIGINT), 1)", f"substr(s{other}, CAST({there} AS BIGINT), 1)"
+    differ = f"{mine} <> {pair.format(its)}" if own == 1 else f"{its} <> {pair.format(mine)}"
+    when = f"overlapped AND {i} >= 0 AND {i} < size AND {differ} AND {_at(f'q{other}', there)} >= 63 AND {_at(f'q{own}', 'j')} <= 47"
+    places = f"range(1, n{own} + 1)"
+    text = lambda new, old: f"array_to_string(list_transform({places}, lambda j: CASE WHEN {when} THEN {new} ELSE {old} END), '')"
+    return f"{text(pair.format(its), mine)} AS m{own}, {text(f'substr(q{other}, CAST({there} AS BIGINT), 1)', f'substr(q{own}, CAST(j AS BIGINT), 1)')} AS w{own}, len(list_filter({places}, lambda j: {when})) AS c{own}"
+
+
 def oracle_sql() -> dict[str, str]:
     dup = "SELECT {} FROM m"
     return {
@@ -194,6 +230,10 @@ def oracle_sql() -> dict[str, str]:
         "trim_fixed": f"WITH {SE}, t AS (SELECT *, length(seq) > 8 AND 5 < length(seq) - 1 AS ok FROM se) SELECT read_id, CASE WHEN ok THEN substr(seq, 6, length(seq) - 8) ELSE seq END AS seq, CASE WHEN ok THEN substr(qual, 6, length(seq) - 8) ELSE qual END AS qual, ok AS trimmed_ok FROM t",
         "cut_5": _CUT5,
         "cut_3": _CUT3,
+        "cut_both": _CUT_BOTH,
+        "adapter_list_trim": _ADAPTERS,
+        "plain_bases": _PLAIN,
+        "overlap_correct": f"WITH {_OVERLAP}, mended AS (SELECT read_id, {_mended(1)}, {_mended(2)} FROM ov) SELECT read_id, m1 AS s1, w1 AS q1, m2 AS s2, w2 AS q2, CAST(c1 + c2 AS INTEGER) AS corrected FROM mended",
         "polyg": _POLYG,
         "polyx": _POLYX,
         "adapter_seq_trim": f"{_ADAPTER} SELECT read_id, kept AS seq, removed FROM cut",
