@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,24 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\r\x0b\x0c"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once per application, wherever they run."""
+    sc = spark.sparkContext
+    name = f"readloom-{sc.applicationId}.zip"
+    if name in sc._python_includes:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        with zipfile.ZipFile(f"{folder}/{name}", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, f"readloom/{p.relative_to(root).as_posix()}")
+        shipped = Path(tempfile.gettempdir()) / name  # the driver serves the file from here
+        shutil.copy(f"{folder}/{name}", shipped)
+    sc.addPyFile(str(shipped))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

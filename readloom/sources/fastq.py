@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from readloom.common import ship
+
 FASTQ_SCHEMA = "file_no int, split_no int, offset bigint, idx bigint, name string, seq string, strand string, qual string"
 FASTA_SCHEMA = "file_no int, split_no int, offset bigint, idx bigint, name string, comment string, seq string"
 _BATCH = 8192
@@ -207,6 +209,7 @@ class FastaSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(FastqSource)
     spark.dataSource.register(FastaSource)
 
