@@ -3,7 +3,7 @@
 The mix is as large as the target shares and repeat limits allow. A source whose target is r times its own
 tokens gives floor(r) certain copies of each document; the rest, a share lambda = r - floor(r) of its tokens, is a
 sample: documents are ranked by random odds U / (1 - U) over inclusion odds lambda / (1 - lambda) and taken from
-the lowest rank until the source's tokens are reached. U is a hash of the document's id, so a task that runs again
+the lowest rank while they fit the source's tokens; one more, the nearest in size, fills what is missing. U is a hash of the document's id, so a task that runs again
 after a loss makes the same choice.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readloom.common import written
+from readloom.common import materialize, written
 from readloom.llm.tokens import token_counts
 
 #: Ranks are compared in this many bins per source first; only the bin in which a source is cut is sorted.
@@ -22,6 +22,32 @@ BINS = 1 << 14
 MOST_SOURCES = 100_000
 
 
+_RANKED = ("source", "doc_id", "tokens", "rank", "bin")
+
+
+def _take(pool: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(taken, later, missing): documents in the order of rank while their tokens fit what their source needs, those from
+    the first that doesn't fit on, and what each source then lacks.
+
+    `need` and `missing` have a row per source with a target (bounded by MOST_SOURCES). Sums of bins find the bin in
+    which a source is cut, and only that is sorted.
+    """
+    wanted = pool.join(F.broadcast(need), "source")
+    bins = wanted.groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.max("need").alias("need"))
+    running = W.partitionBy("source").orderBy("bin")  # at most BINS rows a source
+    cut = bins.withColumn("upto", F.sum("t").over(running)).filter((F.col("upto") - F.col("t") <= F.col("need")) & (F.col("upto") > F.col("need")))
+    cut = materialize(cut.groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("t")).alias("below"), F.max("need").alias("need")))
+    marked = pool.join(F.broadcast(cut), "source", "left")
+    upto = F.sum("tokens").over(W.partitionBy("source").orderBy("rank", "doc_id")) + F.col("below")
+    inside = marked.filter(F.col("bin") == F.col("cut")).withColumn("upto", upto)
+    fits = inside.filter(F.col("upto") <= F.col("need"))
+    taken = marked.filter(F.col("cut").isNull() | (F.col("bin") < F.col("cut"))).select(*_RANKED).unionByName(fits.select(*_RANKED))
+    later = marked.filter(F.col("bin") > F.col("cut")).select(*_RANKED).unionByName(inside.filter(F.col("upto") > F.col("need")).select(*_RANKED))
+    reached = fits.groupBy("source").agg(F.max("upto").alias("reached"))
+    missing = materialize(cut.join(reached, "source", "left").select("source", (F.col("need") - F.coalesce("reached", "below")).alias("need")))
+    return taken, later, missing
+
+
 def normal_source(col: str) -> Column:
     return F.lower(F.trim(F.col(col)))
 
@@ -69,18 +95,15 @@ class Mix:
         ranked = self.sized.join(self.plan, "source").withColumn("u", u).withColumn("rank", F.when(F.col("share") > 0, odds))
         # rank / (1 + rank) lies in (0, 1) and keeps the order; half of a share's documents lie below 1/2.
         ranked = ranked.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
-        bins = ranked.filter(F.col("rank").isNotNull()).groupBy("source", "bin").agg(F.sum("tokens").alias("t"), F.first("wanted").alias("wanted"))
-        running = W.partitionBy("source").orderBy("bin")  # at most BINS rows a source
-        cut = bins.withColumn("upto", F.sum("t").over(running)).filter((F.col("upto") - F.col("t") <= F.col("wanted")) & (F.col("upto") > F.col("wanted")))
-        cut = cut.groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("t")).alias("below"))
-        # One row per source with a target: bounded like the plan.
-        marked = ranked.join(F.broadcast(cut), "source", "left")
-        whole_bins = F.col("rank").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
-        inside = marked.filter(F.col("bin") == F.col("cut"))
-        upto = F.sum("tokens").over(W.partitionBy("source").orderBy("rank", "doc_id")) + F.col("below")
-        # A document is taken if more than half of it lies under the target, so the share misses by at most half a document.
-        edge = inside.withColumn("upto", upto).filter((F.col("upto") - F.col("tokens") / 2 < F.col("wanted")) & (F.col("tokens") > 0))
-        sampled = marked.filter(whole_bins & (F.col("tokens") > 0)).select("doc_id", "source", "tokens").unionByName(edge.select("doc_id", "source", "tokens")).withColumn("copies", F.lit(1))
+        pool = ranked.filter(F.col("rank").isNotNull() & (F.col("tokens") > 0)).select(*_RANKED)
+        need = self.plan.select("source", F.col("wanted").alias("need"))
+        # A long document may end the first round early; a second goes on with those that still fit.
+        first, later, missing = _take(pool, need)
+        second, beyond, still = _take(later.join(F.broadcast(missing), "source").filter(F.col("tokens") <= F.col("need")).select(*_RANKED), missing)
+        # What then is missing goes to one later document, the one whose size comes nearest to it, if any is nearer than none.
+        nearest = beyond.join(F.broadcast(still), "source").groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("need")).alias("miss"), "rank", "doc_id", "tokens", "need")).alias("x")).filter(F.col("x.miss") < F.col("x.need"))
+        taken = [d.select("doc_id", "source", "tokens") for d in (first, second, nearest.select("x.doc_id", "source", "x.tokens"))]
+        sampled = taken[0].unionByName(taken[1]).unionByName(taken[2]).withColumn("copies", F.lit(1))
         certain = ranked.filter(F.col("certain") > 0).select("doc_id", "source", "tokens", F.col("certain").alias("copies"))
         return certain.unionByName(sampled).groupBy("doc_id", "source", "tokens").agg(F.sum("copies").cast("int").alias("copies"))
 
