@@ -95,7 +95,8 @@ class Mix:
         ranked = self.sized.join(self.plan, "source").withColumn("u", u).withColumn("rank", F.when(F.col("share") > 0, odds))
         # rank / (1 + rank) lies in (0, 1) and keeps the order; half of a share's documents lie below 1/2.
         ranked = ranked.withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
-        pool = ranked.filter(F.col("rank").isNotNull() & (F.col("tokens") > 0)).select(*_RANKED)
+        # Numbers only, written once: each round reads them several times.
+        pool = written(ranked.filter(F.col("rank").isNotNull() & (F.col("tokens") > 0)).select(*_RANKED), "ranked")
         need = self.plan.select("source", F.col("wanted").alias("need"))
         # A long document may end the first round early; a second goes on with those that still fit.
         first, later, missing = _take(pool, need)
