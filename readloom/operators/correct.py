@@ -167,8 +167,10 @@ def align(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, ratio: f
     need = np.maximum(least, (la * least_ratio).astype(np.int64))
     best, shift = total.copy(), -lc
     over, wrong = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    c = np.where(c == 0, 1, c)  # padding equals nothing
     wa, wc = a.shape[1], c.shape[1]
+    # Padding, 0 on one side and 1 on the other, equals nothing; 8 more columns let rows be counted by 8 bytes.
+    a = np.pad(a, ((0, 0), (0, 8)))
+    c = np.pad(np.where(c == 0, 1, c).astype(np.uint8), ((0, 0), (0, 8)), constant_values=1)
     for s in [0, *range(1, wa), *range(-1, -wc, -1)]:
         overlap = np.minimum(la - s, lc) if s >= 0 else np.minimum(la, lc + s)
         allowed = (overlap * ratio).astype(np.int64)
@@ -178,9 +180,10 @@ def align(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, ratio: f
         rows = np.flatnonzero(may)
         if not len(rows):
             continue
-        w = min(wa - s, wc) if s >= 0 else min(wa, wc + s)
+        w = -(-(min(wa - s, wc) if s >= 0 else min(wa, wc + s)) // 8) * 8
         left, right = (a[rows, s : s + w], c[rows, :w]) if s >= 0 else (a[rows, :w], c[rows, -s : w - s])
-        miss = overlap[rows] - (left == right).sum(axis=1)
+        equal = np.bitwise_count((left == right).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        miss = overlap[rows] - equal
         score = miss + total[rows] - 2 * overlap[rows]
         win = (miss < allowed[rows]) & (score < best[rows])
         rows = rows[win]
