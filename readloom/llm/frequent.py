@@ -97,31 +97,29 @@ def merged_summary(hashes: DataFrame, epsilon: float) -> tuple[DataFrame, int]:
 
 
 def frequent_items(df: DataFrame, id_col: str, item: str = "seq", k: int = 20, epsilon: float = 1e-4, broadcast_rows: int = 100_000) -> DataFrame:
-    """The k most frequent items with guaranteed count intervals: item, n_low, n_high, n (recounted).
+    """The k most frequent items with guaranteed count intervals: item, n_low, n_high, n (recounted), certain.
 
     An item counts once per distinct id. Null and empty items are left out, as are all other columns.
-    Candidates are all items whose upper bound reaches the k-th lower bound, so none of the k is lost; if
-    an item without entry could belong there too, counting is repeated with a smaller epsilon. Ties at the
-    limit are all returned. An empty table gives an empty result. The candidates' exact counts come from a
-    second scan, in which the candidates are broadcast only if they are at most `broadcast_rows`.
+    `epsilon` fixes the memory of a task, about log(epsilon * rows) / epsilon entries, whatever the data are: an item
+    of which no task kept an entry occurs at most epsilon * rows times. Candidates are all items whose upper bound
+    reaches the k-th lower bound; a second scan recounts them exactly, with the candidates broadcast only if they are
+    at most `broadcast_rows`. `certain` tells that n exceeds what any dropped item can have, so that the row belongs
+    here for sure; where counts are so even that it is false, a smaller epsilon (and more memory) is the caller's
+    choice. Ties at the limit are all returned. An empty table gives an empty result.
     """
     items = df.select(F.col(id_col).alias("__id"), F.col(item).alias("item")).filter(F.col("item").isNotNull() & (F.col("item") != ""))
     keyed = items.withColumn("h", F.xxhash64("item"))
     # 16 bytes per row shuffle here instead of the item.
     once = keyed.select("__id", "h").distinct().select("h")
-    while True:
-        merged, missed = merged_summary(once, epsilon)
-        top = merged.select("low").orderBy(F.desc("low")).limit(k).agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).first()
-        kth = top["low"] if top["c"] == k else 0
-        if missed == 0 or (kth or 0) > missed:
-            break
-        epsilon /= 16  # an item that every task dropped could be among the k
-    found = materialize(merged.filter(F.col("high") >= F.lit(kth or 0)))
+    merged, missed = merged_summary(once, epsilon)
+    top = merged.select("low").orderBy(F.desc("low")).limit(k).agg(F.count(F.lit(1)).alias("c"), F.min("low").alias("low")).first()
+    kth = top["low"] if top["c"] == k else 0
+    found = materialize(merged.filter(F.col("high") >= F.lit(kth)))
     rows = found.count()
     wanted = F.broadcast(found) if rows <= broadcast_rows else found
     counted = keyed.join(wanted, "h").select("item", "__id", "low", "high").distinct().groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("n_low"), F.max("high").alias("n_high"))
     limit = counted.select("n").orderBy(F.desc("n")).limit(k).agg(F.min("n").alias("__least"))
-    return counted.join(F.broadcast(limit)).filter(F.col("n") >= F.col("__least")).select("item", "n_low", "n_high", "n")
+    return counted.join(F.broadcast(limit)).filter(F.col("n") >= F.col("__least")).select("item", "n_low", "n_high", "n", (F.col("n") > F.lit(missed)).alias("certain"))
 
 
 def frequent_sequences(reads: DataFrame, k: int = 20, epsilon: float = 1e-4) -> DataFrame:

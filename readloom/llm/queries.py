@@ -24,7 +24,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return frequent.frequent_sequences(table(spark, d, "reads_se")).select("seq", "n_low", "n_high", "n")
+    """Whether the guaranteed interval holds the exact count, beside that count."""
+    found = frequent.frequent_sequences(table(spark, d, "reads_se"))
+    return found.select("seq", "n", F.col("n").between(F.col("n_low"), F.col("n_high")).alias("inside"), "certain")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,6 +89,7 @@ def oracle_sql() -> dict[str, str]:
  running AS (SELECT chunk_id, gid, max_bases, sum(n) OVER (PARTITION BY chunk_id ORDER BY gid) AS upto FROM chunks JOIN recs ON recs.file_no = chunks.file_no AND gid BETWEEN s AND e)
 SELECT chunk_id, min(gid) AS gid FROM running WHERE upto > max_bases GROUP BY chunk_id""",
         "p2_found": f"WITH {_ONCE} SELECT seq FROM once WHERE seq <> '' GROUP BY seq ORDER BY count(*) DESC LIMIT 20",
+        "p2_intervals": f"WITH {_ONCE}, c AS (SELECT seq, count(*) AS n FROM once WHERE seq <> '' GROUP BY seq) SELECT seq, n, true AS inside, true AS certain FROM c WHERE n >= (SELECT min(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 20))",
         "p6_found": f"""WITH once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM long_reads WHERE seq IS NOT NULL),
  w AS (SELECT DISTINCT read_id, substr(seq, CAST(i AS BIGINT), 12) AS k FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 10)) AS i FROM once) WHERE NOT regexp_matches(substr(seq, CAST(i AS BIGINT), 12), '[^ACGT]')),
  n AS (SELECT read_id, count(*) AS n FROM w GROUP BY read_id),

@@ -31,17 +31,40 @@ def seqs(spark, rows):
     return spark.createDataFrame([(i, s, 1, "x", "y") for i, s in rows], S)
 
 
-@pytest.mark.parametrize("epsilon", [0.2, 0.001])
-def test_most_frequent(spark, epsilon):
+def skewed():
     rows, i = [], 0
     for k in range(1, 41):
         for _ in range(k):
             rows.append((i, f"acgt{'A' * k} \r\n" if i % 2 else f"ACGT{'A' * k}"))
             i += 1
-    rows += [(i + j, "UNIQUE" + str(j)) for j in range(3000)] + rows[:400] + [(10_000 + j, s) for j, s in enumerate([None, "", "  "] * 60)]
-    got = frequent.frequent_sequences(seqs(spark, rows), 20, epsilon).collect()
+    return rows + [(i + j, "UNIQUE" + str(j)) for j in range(3000)] + rows[:400] + [(10_000 + j, s) for j, s in enumerate([None, "", "  "] * 60)]
+
+
+@pytest.mark.parametrize("epsilon", [0.004, 0.0001])
+def test_most_frequent(spark, epsilon):
+    got = frequent.frequent_sequences(seqs(spark, skewed()), 20, epsilon).collect()
     assert {r.seq: r.n for r in got} == {"ACGT" + "A" * k: k for k in range(21, 41)}
+    assert all(r.n_low <= r.n <= r.n_high and r.certain for r in got)
+
+
+def test_even_counts_keep_the_memory(spark, monkeypatch):
+    """Nothing is frequent: epsilon stays, no task holds all items, and no rank is called certain."""
+    calls = []
+    real = frequent.merged_summary
+    monkeypatch.setattr(frequent, "merged_summary", lambda h, e: calls.append(e) or real(h, e))
+    got = frequent.frequent_sequences(seqs(spark, [(i, f"S{i // 2}") for i in range(20_000)]), 20, 0.01).collect()
+    assert calls == [0.01] and not any(r.certain for r in got) and all(r.n_low <= r.n <= r.n_high for r in got)
+    counter = frequent.LossyCounter(0.01)
+    counter.add(np.arange(1_000_000, dtype=np.int64))
+    assert len(counter.items) <= 100 and counter._waiting < 100
+
+
+def test_uncertain_ranks_are_marked(spark):
+    got = frequent.frequent_sequences(seqs(spark, skewed()), 20, 0.2).collect()
     assert all(r.n_low <= r.n <= r.n_high for r in got)
+    most = {f"ACGT{'A' * k}": k for k in range(1, 41)}
+    assert all(r.n == most.get(r.seq, 1) for r in got)
+    assert all(r.seq in list(most)[-20:] for r in got if r.certain)
 
 
 def test_frequent_edges(spark):
@@ -99,6 +122,6 @@ def test_words_small_texts(spark):
     assert words.marked_words(seqs(spark, [(1, None)])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p5_found", "p5_words"])
+@pytest.mark.parametrize("name", sorted(n for n in queries.oracle_sql() if n.startswith(("p2", "p5"))))
 def test_equals_sql(spark, name):
     same(spark, "/root/testdata/sf0.01", queries.queries()[name], queries.oracle_sql()[name])
