@@ -37,6 +37,13 @@ def p5_words(spark: SparkSession, d: str) -> DataFrame:
     return words.marked_words(table(spark, d, "reads_se")).select("kmer", "occurrences", "reads", "mark")
 
 
+def p5_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Words of 1 to 12 letters from one suffix array per batch, summed up by length."""
+    counted = words.marked_words(table(spark, d, "reads_se"), range(1, 13))
+    one = F.when(F.col("reads") == 1, 1)
+    return counted.groupBy("n").agg(F.count(F.lit(1)).alias("words"), F.sum("occurrences").alias("occurrences"), F.sum("reads").alias("reads"), F.max("reads").alias("most_reads"), F.count(one).alias("in_one_read"), F.count(F.when(F.col("mark") == "common", 1)).alias("common"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_reads(table(spark, d, "long_reads")).pairs().select(F.col("id_a").alias("read_id_a"), F.col("id_b").alias("read_id_b"))
 
@@ -70,11 +77,16 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_intervals, p5_found, p5_words, p6_found, p6_groups, p7_packed, p7_fill, p8_selection, p8_shares, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_intervals, p5_found, p5_words, p5_lengths, p6_found, p6_groups, p7_packed, p7_fill, p8_selection, p8_shares, p9_found, p9_clean)}
 
 
 _CLEAN = "upper(trim(seq, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
 _ONCE = f"once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM reads_se)"
+_LENGTHS = f"""WITH {_ONCE},
+ total AS (SELECT count(*) AS all_reads FROM (SELECT DISTINCT read_id FROM reads_se)),
+ places AS (SELECT read_id, n, substr(seq, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS kmer FROM (SELECT read_id, seq, n, unnest(range(1, length(seq) - n + 2)) AS i FROM once, (SELECT unnest(range(1, 13)) AS n))),
+ words AS (SELECT n, kmer, count(*) AS occurrences, count(DISTINCT read_id) AS reads FROM places WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY n, kmer)
+SELECT CAST(n AS INTEGER) AS n, count(*) AS words, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(reads) AS BIGINT) AS reads, max(reads) AS most_reads, count(*) FILTER (reads = 1) AS in_one_read, count(*) FILTER (reads * 10 > all_reads) AS common FROM words, total GROUP BY n"""
 _WORDS = f"""{_ONCE},
  total AS (SELECT count(*) AS n FROM (SELECT DISTINCT read_id FROM reads_se)),
  places AS (SELECT read_id, substr(seq, CAST(i AS BIGINT), 6) AS kmer FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 4)) AS i FROM once)),
@@ -96,5 +108,6 @@ SELECT chunk_id, min(gid) AS gid FROM running WHERE upto > max_bases GROUP BY ch
  p AS (SELECT a.read_id AS x, b.read_id AS y, count(*) AS c FROM w AS a JOIN w AS b ON a.k = b.k AND a.read_id < b.read_id GROUP BY ALL)
 SELECT x AS read_id_a, y AS read_id_b FROM p JOIN n AS nx ON nx.read_id = x JOIN n AS ny ON ny.read_id = y WHERE c * 10 >= 6 * (nx.n + ny.n - c)""",
         "p5_found": f"WITH {_WORDS} SELECT kmer, mark FROM marked WHERE mark IS NOT NULL",
+        "p5_lengths": _LENGTHS,
         "p5_words": f"WITH {_WORDS} SELECT kmer, occurrences, reads, mark FROM marked",
     }

@@ -81,13 +81,27 @@ def test_frequent_without_broadcast(spark):
     assert frequent.frequent_items(df, "read_id", "seq", 2, broadcast_rows=0).count() == 2
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 12, 20])
-def test_ranks_sort_like_prefixes(n):
-    s = np.array([R.randrange(4) for _ in range(500)], np.uint8)
-    r = words.prefix_ranks(s, n)
-    text = bytes(s) + b"\0" * n
-    order = sorted(range(500), key=lambda i: text[i : i + n])
-    assert [text[i : i + n] for i in np.argsort(r, kind="stable")] == [text[i : i + n] for i in order]
+@pytest.mark.parametrize("depth,letters", [(21, 4), (30, 4), (64, 2), (500, 1), (1000, 2)])
+def test_suffix_array_and_prefixes(depth, letters):
+    pieces = [np.array([R.randrange(letters) + 1 for _ in range(R.choice([0, 1, 5, 21, 22, 90]))], np.uint8) for _ in range(20)]
+    text = np.concatenate([np.append(x, 0) for x in pieces + pieces[:5]]).astype(np.uint8)
+    key = words.packed_prefixes(text)
+    order = words.suffix_array(text, key, depth)
+    raw, n = bytes(text), len(text)
+    assert sorted(order) == list(range(n))
+    raw += bytes(depth)  # behind the text stand ends
+    assert all(raw[a : a + depth] <= raw[b : b + depth] for a, b in zip(order, order[1:]))
+    run = np.array([raw.index(0, p) - p for p in order])
+    most = min(depth, 40)
+    got = words.common_prefixes(text, key, order, run, most)
+
+    def shared(a, b):
+        k = 0
+        while k < most and raw[a + k] == raw[b + k] != 0:
+            k += 1
+        return k
+
+    assert got.tolist() == [0] + [shared(a, b) for a, b in zip(order, order[1:])]
 
 
 def brute(rows, n):
@@ -102,10 +116,14 @@ def brute(rows, n):
     return {w: (c, len(records[w])) for w, c in occurrences.items()}
 
 
-@pytest.mark.parametrize("n", [2, 6, 9])
-def test_words(spark, n):
+def made(n):
     rows = [(i, "".join(R.choice("ACGTN" if i % 3 else "AC") for _ in range(R.choice([0, 1, n - 1, n, 40, 90])))) for i in range(300)]
-    rows += [(1000, None), (1001, "acgtacgtacgtacgt\n"), (1002, "A" * 50_000)]
+    return rows + [(1000, None), (1001, "acgtacgtacgtacgt\n"), (1002, "A" * 50_000)]
+
+
+@pytest.mark.parametrize("n", [2, 6, 9, 25])
+def test_words(spark, n):
+    rows = made(n)
     got = words.marked_words(seqs(spark, rows + rows[:50]), n).collect()
     want = brute(rows, n)
     assert {r.kmer: (r.occurrences, r.reads) for r in got} == want
@@ -113,10 +131,22 @@ def test_words(spark, n):
     assert all(r.mark == ("rare" if r.reads * 500 < 303 else "common" if r.reads * 10 > 303 else None) for r in got)
 
 
+def test_all_lengths_from_one_array(spark):
+    rows = made(12)
+    got = words.marked_words(seqs(spark, rows), range(1, 32)).collect()
+    by = defaultdict(dict)
+    for r in got:
+        by[r.n][r.kmer] = r.occurrences, r.reads
+    assert all(by[n] == brute(rows, n) for n in range(1, 32))
+    with pytest.raises(ValueError):
+        words.marked_words(seqs(spark, rows), 32)
+
+
 def test_words_small_texts(spark):
     rows = [(i, "ACGTACGTAC") for i in range(100)]
     df = seqs(spark, rows).select("read_id", "seq")
-    counts = {r.word: (r.occurrences, r.records) for r in words.word_counts(df, "seq", 6, text_bytes=50).collect()}
+    got = words.word_counts(df, "seq", [6], text_bytes=50).withColumn("kmer", words.letters_of("word", "n")).collect()
+    counts = {r.kmer: (r.occurrences, r.records) for r in got}
     assert counts.pop(None) == (0, 100) and counts == {w: (c, r) for w, (c, r) in brute(rows, 6).items()}
     assert words.marked_words(seqs(spark, [])).count() == 0
     assert words.marked_words(seqs(spark, [(1, None)])).count() == 0
