@@ -100,6 +100,15 @@ def oracle_sql() -> dict[str, str]:
  chunks AS (SELECT DISTINCT chunk_id, file_no, coalesce(chunk_start, chunk_end - nseqs + 1) AS s, coalesce(chunk_end, chunk_start + nseqs - 1) AS e, max_bases FROM fasta_chunks),
  running AS (SELECT chunk_id, gid, max_bases, sum(n) OVER (PARTITION BY chunk_id ORDER BY gid) AS upto FROM chunks JOIN recs ON recs.file_no = chunks.file_no AND gid BETWEEN s AND e)
 SELECT chunk_id, min(gid) AS gid FROM running WHERE upto > max_bases GROUP BY chunk_id""",
+        # The cuts one after another; chunks of these tables are one segment each.
+        "p1_pieces": """WITH RECURSIVE recs AS (SELECT DISTINCT gid, file_no, regexp_replace(coalesce(seq, ''), '[^A-Za-z]', '', 'g') AS b FROM fasta_records),
+ chunks AS (SELECT DISTINCT chunk_id, file_no, coalesce(chunk_start, chunk_end - nseqs + 1) AS s, coalesce(chunk_end, chunk_start + nseqs - 1) AS e, CAST(max_bases AS BIGINT) AS m, least(greatest(0, coalesce(CAST(halo AS BIGINT), 0)), max_bases - 1) AS h FROM fasta_chunks),
+ laid AS (SELECT chunk_id, m, h, gid, b, CAST(sum(length(b)) OVER (PARTITION BY chunk_id ORDER BY gid) AS BIGINT) AS upto FROM chunks JOIN recs ON recs.file_no = chunks.file_no AND gid BETWEEN s AND e WHERE b <> ''),
+ whole AS (SELECT chunk_id, m, h, string_agg(b, '' ORDER BY gid) AS text, list(upto ORDER BY gid) AS ends, list(gid ORDER BY gid) AS gids FROM laid GROUP BY chunk_id, m, h),
+ cut AS (SELECT chunk_id, 0 AS piece, CAST(0 AS BIGINT) AS fresh, coalesce(list_max(list_filter(ends, lambda x: x <= m)), least(m, length(text))) AS stop FROM whole
+   UNION ALL SELECT c.chunk_id, piece + 1, stop, coalesce(list_max(list_filter(ends, lambda x: x > stop AND x <= stop + m - h)), least(stop + m - h, length(text))) FROM cut AS c JOIN whole AS w ON w.chunk_id = c.chunk_id WHERE stop < length(text))
+SELECT c.chunk_id, CAST(0 AS BIGINT) AS segment, piece, greatest(0, fresh - h) AS start, fresh, CAST(stop - greatest(0, fresh - h) AS INTEGER) AS n_bases, gids[len(list_filter(ends, lambda x: x <= fresh)) + 1] AS first_gid, gids[len(list_filter(ends, lambda x: x <= stop - 1)) + 1] AS last_gid,
+ substr(text, greatest(0, fresh - h) + 1, stop - greatest(0, fresh - h)) AS bases FROM cut AS c JOIN whole AS w ON w.chunk_id = c.chunk_id""",
         "p2_found": f"WITH {_ONCE} SELECT seq FROM once WHERE seq <> '' GROUP BY seq ORDER BY count(*) DESC LIMIT 20",
         "p2_intervals": f"WITH {_ONCE}, c AS (SELECT seq, count(*) AS n FROM once WHERE seq <> '' GROUP BY seq) SELECT seq, n, true AS inside, true AS certain FROM c WHERE n >= (SELECT min(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 20))",
         "p6_found": f"""WITH once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM long_reads WHERE seq IS NOT NULL),

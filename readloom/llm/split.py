@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 #: Least bases of a segment, the unit that one row cuts; 16 times max_bases if that is more.
 SEGMENT = 1 << 18
+#: Cuts that a segment has at most, but for what 16 times max_bases need.
+CUTS = 1 << 12
+#: Letters of a record before its last one.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def record_pattern(limit: Column) -> Column:
     """Up to the last end of a record within the limit, else the limit's letters. A record ends in lower case."""
@@ -31,24 +36,36 @@ def text_pattern(limit: int) -> str:
     return "(?s)" + "|".join([*parts, f"(?:.{{1,{limit}}})"])
 
 
-def lookback_starts(lengths: Column, overlap: Column) -> Column:
-    """For pieces of these lengths of new content: array of (start, fresh, end), start looking back by the overlap."""
-    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,fresh:int,end:int>>").alias("cuts"))
+def running_totals(column: str) -> Column:
+    """Array of the totals up to and with each number of an array column. Numbers are summed in blocks of the root of their count, since an array
+    that grows by one number is copied each time: no array that grows here is longer than the root."""
+    numbers = F.col(column)
+    side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(numbers)))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(numbers) - 1) / side).cast("int")), lambda i: F.slice(numbers, i * side + 1, side))
+    empty = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("upto"))
 
     def step(acc: Column, n: Column) -> Column:
-        at = acc["at"]
-        cut = F.struct(F.greatest(F.lit(0), at - overlap).cast("int").alias("start"), at.cast("int").alias("fresh"), (at + n).cast("int").alias("end"))
-        return F.struct((at + n).cast("int").alias("at"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))
+        return F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["upto"], F.array(acc["sum"] + n)).alias("upto"))
+
+    inner = F.transform(blocks, lambda block: F.aggregate(block, empty, step))
+    begun = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("before"))
 
-    return F.aggregate(lengths, begun, step, lambda acc: acc["cuts"])
+    def follow(acc: Column, block: Column) -> Column:
+        return F.struct((acc["sum"] + block["sum"]).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+
+    # All blocks before: the sums are few, but their array is made once, outside the lambda over the blocks.
+    return F.transform(
+        F.array(inner),
+        lambda all_blocks: F.flatten(F.zip_with(all_blocks, F.aggregate(all_blocks, begun, follow)["before"], lambda block, before: F.transform(block["upto"], lambda x: x + before))),
+    )[0]
 
 
 def split_texts(df: DataFrame, id_col: str, text: str, limit: int, overlap: int = 0) -> DataFrame:
     """Pieces of every text: id, piece (from 1), start, text; at most `limit` characters with the overlap.
 
     Cut at the end of a paragraph, line, sentence or word if one lies in the second half of what fits, else
-    anywhere. Each row is cut by itself; other columns are ignored; null and empty texts have no pieces and an
-    empty table none. Surrogate pairs are never cut, since lengths are in characters.
+    anywhere. Each row is cut by itself, in time that grows with its length; other columns are ignored; null and empty
+    texts have no pieces and an empty table none. Surrogate pairs are never cut, since lengths are in characters.
     """
     if limit < 1 or not 0 <= overlap < limit:
         raise ValueError("the overlap must be less than the limit")
@@ -56,11 +73,19 @@ def split_texts(df: DataFrame, id_col: str, text: str, limit: int, overlap: int
     first = F.regexp_extract(t, "^(?:" + text_pattern(limit).replace("(?s)", "(?s:", 1) + "))", 0)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("__t")).filter(F.length("__t") > 0).withColumn("__first", first)
     rest = F.regexp_extract_all(F.substr(t, F.length("__first") + 1), F.lit(text_pattern(limit - overlap)), F.lit(0))
-    lengths = F.transform(F.concat(F.array("__first"), rest), lambda x: F.length(x))
-    return (
-        rows.select("__id", "__t", F.posexplode(lookback_starts(lengths, F.lit(overlap))).alias("__n", "__cut"))
-        .select(F.col("__id").alias(id_col), (F.col("__n") + 1).alias("piece"), F.col("__cut.start").alias("start"), F.substr(t, F.col("__cut.start") + 1, F.col("__cut.end") - F.col("__cut.start")).alias("text"))
-    )
+    rows = rows.select("__id", F.concat(F.array("__first"), rest).alias("__p"))
+    rows = rows.withColumn("__n", F.transform("__p", lambda x: F.length(x))).withColumn("__ends", running_totals("__n"))
+    # All pieces but the last have at least this many characters, so so many pieces hold the overlap.
+    back = -(-overlap // max(1, (limit - overlap) // 2))
+    pieces = F.col("__p")
+
+    def before(i: Column) -> Column:
+        return F.right(F.array_join(F.slice(pieces, F.greatest(F.lit(1), i + 1 - back), F.least(i, F.lit(back))), ""), F.lit(overlap))
+
+    texts = F.transform(pieces, lambda x, i: F.when(i > 0, F.concat(before(i), x)).otherwise(x)) if overlap else pieces
+    rows = rows.select("__id", F.posexplode(F.zip_with(texts, "__ends", lambda x, end: F.struct(x.alias("text"), end.alias("end")))).alias("__n", "__cut"))
+    body = F.col("__cut.text")
+    return rows.select(F.col("__id").alias(id_col), (F.col("__n") + 1).alias("piece"), (F.col("__cut.end") - F.length(body)).cast("int").alias("start"), body.alias("text"))
 
 
 def whole_chunks(chunks: DataFrame) -> DataFrame:
@@ -116,7 +141,8 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     file, or a max_bases that is null or below 1 have no pieces, nor have chunks without bases. Bases are the letters
     of seq; other columns are ignored. Empty tables give an empty result.
 
-    A chunk of any size is cut in segments by its running total of bases, found in two levels (sums of blocks of
+    Time grows with the bases that come out: texts are cut by one pass of the expression, offsets are running totals, and
+    slices don't walk the text. A chunk of any size is cut in segments by its running total of bases, found in two levels (sums of blocks of
     gids, then inside a block), so no task holds a chunk. All segments but the last hold at least 14 * max_bases.
     """
     rows = chunk_records(chunks, records).select("chunk_id", "file_no", "block", "gid", "n", "max_bases", "halo")
@@ -127,7 +153,9 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     rows = rows.join(sums, ["chunk_id", "block"]).withColumn("before", F.col("before_block") + F.coalesce(inside, F.lit(0))).filter("n > 0")
     # The bases move twice: to their place here, where a record delivered again is dropped, and to their segment.
     rows = rows.join(letters(records).dropDuplicates(["file_no", "gid"]), ["file_no", "gid"])
-    size = F.greatest(F.lit(SEGMENT), 16 * F.col("max_bases"))
+    # A halo that leaves little room makes many pieces of a segment, so segments are shorter then.
+    fits = F.greatest(F.lit(1), F.col("max_bases") - F.col("halo")) * CUTS
+    size = F.greatest(F.least(F.lit(SEGMENT), fits), 16 * F.col("max_bases"))
     # Records longer than an eighth of a segment go on in several rows; only the last ends a record.
     step = (size / 8).cast("int")
     rows = rows.withColumn("size", size).withColumn("part", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / step).cast("int"))))
@@ -139,7 +167,10 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
         rows.withColumn("last", last)
         .groupBy("chunk_id", F.floor(F.col("at") / F.col("size")).alias("segment"), "max_bases", "halo")
         .agg(F.min("at").alias("origin"), F.array_sort(F.collect_list(F.struct("at", "gid", "piece", "last"))).alias("r"))
-        .select("chunk_id", "segment", "max_bases", F.least("halo", F.col("max_bases") - 1).alias("halo"), "origin", F.transform("r", lambda x: F.struct(x["at"].alias("at"), x["gid"].alias("gid"))).alias("places"), F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("bases"), F.array_join(F.transform("r", marked), "").alias("marks"))
+        .select("chunk_id", "segment", "max_bases", F.least("halo", F.col("max_bases") - 1).alias("halo"), "origin", "r")
+        # The records in order: those that end in the segment and the one that goes on.
+        .withColumn("gids", F.concat(F.transform(F.filter("r", lambda x: x["last"]), lambda x: x["gid"]), F.array(F.element_at("r", -1)["gid"])))
+        .select("chunk_id", "segment", "max_bases", "halo", "origin", "gids", F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("bases"), F.array_join(F.transform("r", marked), "").alias("marks"))
     )
     tails = segments.select("chunk_id", (F.col("segment") + 1).alias("segment"), F.right("bases", F.col("halo").cast("int")).alias("tail"))
     whole = segments.join(tails, ["chunk_id", "segment"], "left").withColumn("tail", F.coalesce("tail", F.lit("")))
@@ -148,23 +179,41 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     first = F.element_at(F.regexp_extract_all(F.substr(F.col("marks"), F.lit(1), limit.cast("int")), record_pattern(limit), F.lit(0)), 1)
     whole = whole.withColumn("first", first)
     rest = F.regexp_extract_all(F.substr(F.col("marks"), F.length("first") + 1), record_pattern(room), F.lit(0))
-    lengths = F.transform(F.concat(F.array("first"), rest), lambda x: F.length(x))
-    joined = F.concat("tail", "bases")
-    lead = F.length("tail")
-    # Cuts count from the segment's first base; the first looks back into the tail.
-    cuts = F.transform(lookback_starts(lengths, F.lit(0)), lambda c: F.struct(F.greatest(-lead, c["fresh"] - F.col("halo").cast("int")).alias("start"), c["fresh"].alias("fresh"), c["end"].alias("end")))
-    out = whole.select("chunk_id", "segment", "origin", "places", joined.alias("text"), lead.alias("lead"), F.posexplode(cuts).alias("piece", "cut"))
-    gid_at = lambda offset: F.element_at(F.filter("places", lambda p: p["at"] <= F.col("origin") + offset), -1)["gid"]
+    whole = whole.withColumn("p", F.concat(F.array("first"), rest))
+    # How many records have ended with each piece tells which record its last base belongs to.
+    whole = whole.withColumns({"lengths": F.transform("p", lambda x: F.length(x)), "lasts": F.transform("p", lambda x: F.length(F.translate(x, UPPER, "")))})
+    ends, ended = running_totals("lengths"), running_totals("lasts")
+    # Of letters every one is a byte, and bytes are sliced without walking through the text before.
+    whole = whole.select("chunk_id", "segment", "origin", "halo", "gids", F.encode(F.concat("tail", "bases"), "US-ASCII").alias("text"), F.length("tail").alias("lead"), "p", ends.alias("ends"), ended.alias("ended"))
+
+    def cut(i: Column) -> Column:
+        fresh = F.when(i > 0, F.col("ends")[i - 1]).otherwise(F.lit(0))
+        begun = F.when(i > 0, F.col("ended")[i - 1]).otherwise(F.lit(0))
+        start = F.greatest(-F.col("lead"), fresh - F.col("halo"))
+        end = F.col("ends")[i]
+        # A piece that ends with a record ends in that record, another one in the record that goes on.
+        inside = F.col("ended")[i] - F.when(F.col("p")[i].rlike("[a-z]$"), 1).otherwise(0)
+        return F.struct(
+            start.alias("start"),
+            fresh.alias("fresh"),
+            (end - start).alias("n_bases"),
+            F.col("gids")[begun.cast("int")].alias("first_gid"),
+            F.col("gids")[inside.cast("int")].alias("last_gid"),
+            F.decode(F.substring(F.col("text"), (F.col("lead") + start + 1).cast("int"), (end - start).cast("int")), "US-ASCII").alias("bases"),
+        )
+
+    cuts = F.transform(F.sequence(F.lit(0), F.size("p") - 1), cut)
+    out = whole.select("chunk_id", "segment", "origin", F.posexplode(cuts).alias("piece", "cut"))
     return out.select(
         "chunk_id",
         "segment",
         "piece",
         (F.col("origin") + F.col("cut.start")).alias("start"),
         (F.col("origin") + F.col("cut.fresh")).alias("fresh"),
-        (F.col("cut.end") - F.col("cut.start")).alias("n_bases"),
-        gid_at(F.col("cut.fresh")).alias("first_gid"),
-        gid_at(F.col("cut.end") - 1).alias("last_gid"),
-        F.substr(F.col("text"), F.col("lead") + F.col("cut.start") + 1, F.col("cut.end") - F.col("cut.start")).alias("bases"),
+        F.col("cut.n_bases").cast("int").alias("n_bases"),
+        "cut.first_gid",
+        "cut.last_gid",
+        "cut.bases",
     )
 
 

@@ -97,5 +97,47 @@ def test_text_boundary_is_the_strongest(spark):
         split.split_texts(df, "id", "t", 5, 5)
 
 
-def test_equals_sql(spark, data):
-    same(spark, data, queries.queries()["p1_found"], queries.oracle_sql()["p1_found"])
+@pytest.mark.parametrize("name", ["p1_found", "p1_pieces"])
+def test_equals_sql(spark, data, name):
+    same(spark, data, queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_running_totals(spark):
+    for n in (1, 2, 3, 4, 10, 99, 100, 101):
+        numbers = [R.randrange(9) for _ in range(n)]
+        got = spark.createDataFrame([(numbers,)], "x array<int>").select(split.running_totals("x")).first()[0]
+        assert got == [sum(numbers[: i + 1]) for i in range(n)]
+
+
+def test_time_grows_with_the_text(spark, tmp_path):
+    """Four times the text takes no more than about four times as long, with many cuts and a halo as long as a piece."""
+    import time
+
+    def took(n):
+        t = "lorem ipsum dolor sit amet. " * n
+        spark.createDataFrame([(1, t)], "id int, t string").write.parquet(str(tmp_path / str(n)))
+        df = spark.read.parquet(str(tmp_path / str(n)))
+        best = 99.0
+        for _ in range(2):
+            began = time.time()
+            split.split_texts(df, "id", "t", 20, 12).write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - began)
+        return best
+
+    took(1000)
+    assert took(40_000) < 8 * max(0.3, took(10_000))
+
+
+def test_halo_as_long_as_a_piece(spark):
+    records = [(i, 0, "n", None, letters(R.choice([1, 2, 30]))) for i in range(80)]
+    for limit, halo in ((20, 500), (1, 3)):
+        chunk = spark.createDataFrame([(1, 0, 0, 79, None, limit, halo)], C)
+        got = sorted(split.split_chunks(chunk, spark.createDataFrame(records, F)).collect(), key=lambda p: p.fresh)
+        whole = "".join(r[4] for r in records)
+        ends, at, owner = [], 0, []
+        for r in records:
+            at += len(r[4])
+            ends.append(at)
+            owner += [r[0]] * len(r[4])
+        check(got, whole, limit, halo, sorted(set(ends) | {p.fresh for p in got if p.piece == 0}))
+        assert all((p.first_gid, p.last_gid) == (owner[p.fresh], owner[p.start + p.n_bases - 1]) for p in got)
