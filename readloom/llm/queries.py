@@ -94,6 +94,13 @@ _WORDS = f"""{_ONCE},
  marked AS (SELECT kmer, occurrences, reads, CASE WHEN reads * 500 < n THEN 'rare' WHEN reads * 10 > n THEN 'common' END AS mark FROM words, total)"""
 
 
+_SIMILAR = f"""once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM long_reads WHERE seq IS NOT NULL),
+ w AS (SELECT DISTINCT read_id, substr(seq, CAST(i AS BIGINT), 12) AS k FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 10)) AS i FROM once) WHERE NOT regexp_matches(substr(seq, CAST(i AS BIGINT), 12), '[^ACGT]')),
+ n AS (SELECT read_id, count(*) AS n FROM w GROUP BY read_id),
+ p AS (SELECT a.read_id AS x, b.read_id AS y, count(*) AS c FROM w AS a JOIN w AS b ON a.k = b.k AND a.read_id < b.read_id GROUP BY ALL),
+ similar_reads AS (SELECT x, y FROM p JOIN n AS nx ON nx.read_id = x JOIN n AS ny ON ny.read_id = y WHERE c * 10 >= 6 * (nx.n + ny.n - c))"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """WITH recs AS (SELECT DISTINCT gid, file_no, length(regexp_replace(coalesce(seq, ''), '[^A-Za-z]', '', 'g')) AS n FROM fasta_records),
@@ -111,11 +118,15 @@ SELECT c.chunk_id, CAST(0 AS BIGINT) AS segment, piece, greatest(0, fresh - h) A
  substr(text, greatest(0, fresh - h) + 1, stop - greatest(0, fresh - h)) AS bases FROM cut AS c JOIN whole AS w ON w.chunk_id = c.chunk_id""",
         "p2_found": f"WITH {_ONCE} SELECT seq FROM once WHERE seq <> '' GROUP BY seq ORDER BY count(*) DESC LIMIT 20",
         "p2_intervals": f"WITH {_ONCE}, c AS (SELECT seq, count(*) AS n FROM once WHERE seq <> '' GROUP BY seq) SELECT seq, n, true AS inside, true AS certain FROM c WHERE n >= (SELECT min(n) FROM (SELECT n FROM c ORDER BY n DESC LIMIT 20))",
-        "p6_found": f"""WITH once AS (SELECT DISTINCT read_id, {_CLEAN} AS seq FROM long_reads WHERE seq IS NOT NULL),
- w AS (SELECT DISTINCT read_id, substr(seq, CAST(i AS BIGINT), 12) AS k FROM (SELECT read_id, seq, unnest(range(1, length(seq) - 10)) AS i FROM once) WHERE NOT regexp_matches(substr(seq, CAST(i AS BIGINT), 12), '[^ACGT]')),
- n AS (SELECT read_id, count(*) AS n FROM w GROUP BY read_id),
- p AS (SELECT a.read_id AS x, b.read_id AS y, count(*) AS c FROM w AS a JOIN w AS b ON a.k = b.k AND a.read_id < b.read_id GROUP BY ALL)
-SELECT x AS read_id_a, y AS read_id_b FROM p JOIN n AS nx ON nx.read_id = x JOIN n AS ny ON ny.read_id = y WHERE c * 10 >= 6 * (nx.n + ny.n - c)""",
+        "p6_found": f"WITH {_SIMILAR} SELECT x AS read_id_a, y AS read_id_b FROM similar_reads",
+        # Classes of equal sequences, links between their least reads, and what can be reached along links.
+        "p6_groups": f"""WITH RECURSIVE {_SIMILAR},
+ class AS (SELECT read_id AS id, min(read_id) OVER (PARTITION BY seq) AS class_id, count(*) OVER (PARTITION BY seq) AS copies FROM once),
+ link AS (SELECT x AS a, y AS b FROM similar_reads WHERE x IN (SELECT class_id FROM class) AND y IN (SELECT class_id FROM class)),
+ both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+ reached AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reached AS r JOIN both_ways AS w ON w.a = r.b),
+ root AS (SELECT a, min(b) AS root FROM reached GROUP BY a), degree AS (SELECT a, count(*) AS links FROM both_ways GROUP BY a)
+SELECT id, class_id, copies, coalesce(links, 0) AS links, coalesce(root, class_id) AS group_id FROM class LEFT JOIN root ON root.a = class_id LEFT JOIN degree ON degree.a = class_id""",
         "p5_found": f"WITH {_WORDS} SELECT kmer, mark FROM marked WHERE mark IS NOT NULL",
         "p5_lengths": _LENGTHS,
         "p5_words": f"WITH {_WORDS} SELECT kmer, occurrences, reads, mark FROM marked",

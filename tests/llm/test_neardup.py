@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from readloom.llm import neardup
@@ -85,6 +86,26 @@ def test_hot_bucket_is_cut_and_complete(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_crowded_band_makes_no_pairs(spark, monkeypatch):
+    """Reads that share a beginning, and with it many bands, but not 60 %; among them some that do."""
+    monkeypatch.setattr(neardup, "HOT_BAND", 50)
+    head = dna(150)
+    rows = [(i, head + dna(250)) for i in range(500)]
+    rows += [(2000 + i, edited(rows[i][1], 0.01)) for i in range(40)] + [(3000 + i, rows[i][1][:330] + dna(60)) for i in range(40)]
+    near = neardup.similar_reads(frame(spark, rows))
+    counts = near.counts()
+    by = dict(rows)  # other reads share the beginning only, less than a quarter
+    want = {p for i in range(40) for p in brute([(j, by[j]) for j in (i, 2000 + i, 3000 + i)])}
+    assert {tuple(r) for r in near.pairs().collect()} == want and len(want) > 80
+    assert counts["hot_bands"] > 0 and counts["crowded"] > 300
+    assert counts["candidates"] < 8000  # of more than 160,000 pairs
+
+
+def test_signatures_drop_what_agrees_too_little():
+    least = neardup.least_agreement(272, 0.6)
+    assert 0.4 < least < 0.6 and neardup.least_agreement(10_000, 0.6) > 0.57
+
+
 def test_without_broadcast(spark, data, monkeypatch):
     monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     t = spark.read.parquet(f"{data}/long_reads.parquet")
@@ -111,11 +132,12 @@ def test_given_table(spark, data):
     assert {tuple(r) for r in neardup.similar_reads(t).pairs().collect()} == brute(rows)
 
 
-def test_equals_sql(spark):
+@pytest.mark.parametrize("name", ["p6_found", "p6_groups"])
+def test_equals_sql(spark, name):
     from readloom.llm import queries
     from tests.oracle import same
 
-    same(spark, "/root/testdata/sf0.01", queries.queries()["p6_found"], queries.oracle_sql()["p6_found"])
+    same(spark, "/root/testdata/sf0.01", queries.queries()[name], queries.oracle_sql()[name])
 
 
 def test_threshold_is_exact(spark):
