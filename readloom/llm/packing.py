@@ -2,10 +2,10 @@
 
 Texts are spread evenly over groups of bounded size and each group is packed by itself, so only a few containers
 per group are less full than they could be. In a group items come in falling size. Each goes to the open
-container with the least room that holds it; if none does, a container of the least-cost permitted size is opened.
-At last every container is made as small as its contents allow. Which size is cheapest to open depends on what
-is still to come, so a group is packed once per permitted size as the least to open, and the result with the least
-total capacity is kept.
+container with the least room that holds it; if none does, a container is opened, of the permitted size that costs least
+per token it will hold, as far as what is still to come can fill it. At last every container is made as small as
+its contents allow, and the contents of the worst filled ones are packed again into whatever sizes cost less, the best
+filling of each found by dynamic programming over subset sums.
 """
 
 from __future__ import annotations
@@ -21,16 +21,23 @@ from pyspark.sql import functions as F
 from readloom.common import written
 from readloom.llm.tokens import token_counts
 
+#: So many of the worst filled containers are packed again, together.
+REPACKED = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+#: Items that are packed again at a time; subset sums take time in proportion to items times capacity.
+MOST_ITEMS = 2048
 
-def best_fit(sizes: Sequence[int], capacities: Sequence[int], opened: int) -> list[int]:
-    """Container number of each item; items must be in falling order and at most the largest capacity.
 
-    `opened`: the least capacity that is opened. Containers are opened at the least permitted capacity of at
-    least this size that holds the item.
-    """
+def least_cost(size: int, to_come: int, capacities: Sequence[int]) -> int:
+    """The capacity to open for an item: least capacity per token it will hold if what is to come (the item and all smaller
+    ones) fills it as far as it can; of equal ones the largest, which leaves most ways to fill it."""
+    return min((c for c in capacities if c >= size), key=lambda c: (c / max(1, min(c, to_come)), -c))
+
+
+def best_fit(sizes: Sequence[int], capacities: Sequence[int]) -> list[int]:
+    """Container number of each item; items must be in falling order and at most the largest capacity."""
     rooms: list[int] = []  # distinct rooms of open containers, rising
     holders: dict[int, list[int]] = {}
-    bins = 0
+    bins, to_come = 0, int(sum(sizes))
     out = []
     for size in sizes:
         i = bisect_left(rooms, size)
@@ -41,9 +48,10 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], opened: int) -> li
                 del holders[room]
                 rooms.pop(i)
         else:
-            room = next(c for c in capacities if c >= max(size, opened))
+            room = least_cost(size, to_come, capacities)
             number, bins = bins, bins + 1
         room -= size
+        to_come -= size
         if room in holders:
             holders[room].append(number)
         else:
@@ -53,23 +61,71 @@ def best_fit(sizes: Sequence[int], capacities: Sequence[int], opened: int) -> li
     return out
 
 
+def fullest(sizes: Sequence[int], capacities: Sequence[int]) -> list[list[int]]:
+    """Per capacity the items (by place) that fill it as far as can be; sums are bits of whole numbers."""
+    mask = (1 << (capacities[-1] + 1)) - 1
+    sums = [1]
+    for s in sizes:
+        sums.append((sums[-1] | sums[-1] << s) & mask)
+    out = []
+    for c in capacities:
+        rest = (sums[-1] & ((1 << (c + 1)) - 1)).bit_length() - 1
+        chosen = []
+        for i in range(len(sizes) - 1, -1, -1):
+            if not sums[i] >> rest & 1:  # without this item the sum can't be reached
+                chosen.append(i)
+                rest -= sizes[i]
+        out.append(chosen)
+    return out
+
+
+def packed_again(sizes: list[int], capacities: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """(capacity, items) of containers for these items, each time the one that costs least per token, filled as far as can be."""
+    left = list(range(len(sizes)))
+    out = []
+    while left:
+        own = [sizes[i] for i in left]
+        ways = fullest(own, capacities)
+        costs = [(c / max(1, sum(own[i] for i in w)), -c, c, w) for c, w in zip(capacities, ways) if w or not sum(own)]
+        *_, capacity, way = min(costs, key=lambda x: x[:2])
+        taken = set(way) | {i for i, s in enumerate(own) if s == 0}
+        out.append((capacity, [left[i] for i in sorted(taken)]))
+        left = [x for i, x in enumerate(left) if i not in taken]
+    return out
+
+
 def pack(sizes: np.ndarray, capacities: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(container of each item, capacity of each container), with the least total capacity over opening sizes."""
+    """(container of each item, capacity of each container), with little total capacity."""
+    if not len(sizes):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     order = np.argsort(-sizes, kind="stable")
-    falling = sizes[order].tolist()
     allowed = np.asarray(capacities)
+    container = np.empty(len(sizes), np.int64)
+    container[order] = best_fit(sizes[order].tolist(), capacities)
+    filled = np.bincount(container, weights=sizes).astype(np.int64)
+    shrunk = allowed[np.searchsorted(allowed, filled)]
+    worst = np.argsort(filled - shrunk, kind="stable")  # the most unused first
     best = None
-    for opened in capacities:
-        number = np.asarray(best_fit(falling, capacities, opened), np.int64)
-        filled = np.bincount(number, weights=sizes[order]).astype(np.int64)
-        shrunk = allowed[np.searchsorted(allowed, filled)]
-        if best is None or shrunk.sum() < best[1].sum():
-            best = number, shrunk
+    for n in REPACKED:
+        again = worst[:n]
+        items = np.flatnonzero(np.isin(container, again))
+        if len(items) > MOST_ITEMS:
+            break
+        new = packed_again(sizes[items].tolist(), capacities)
+        gain = shrunk[again].sum() - sum(c for c, _ in new)
+        if gain > 0 and (best is None or gain > best[0]):
+            best = gain, again, items, new
+        if n >= len(worst):
+            break
     if best is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    container = np.empty(len(sizes), np.int64)
-    container[order] = best[0]
-    return container, best[1]
+        return container, shrunk
+    _, again, items, new = best
+    number = np.cumsum(~np.isin(np.arange(len(shrunk)), again)) - 1  # the others keep their order
+    kept = np.delete(shrunk, again)
+    container = number[container]
+    for i, (_, own) in enumerate(new):
+        container[items[own]] = len(kept) + i
+    return container, np.append(kept, [c for c, _ in new])
 
 
 _PLACED = "scheme string, doc_id bigint, part int, first_token bigint, tokens bigint, container bigint, capacity int"
@@ -121,7 +177,8 @@ def pack_documents(docs: DataFrame, budgets: DataFrame, group_rows: int = 20_000
     repeated rows count once; a null or empty text takes no room but has a place; budgets that are null or
     not positive are left out. Without documents or budgets the result is empty.
 
-    `group_rows` bounds what one task packs at a time; the number of groups follows the number of documents.
+    `group_rows` bounds what one task packs at a time; the number of groups follows the number of documents. More groups
+    cost capacity: the last containers of each are not full.
     """
     spark = SparkSession.active()
     rows = budgets.select("budget_name", F.col("capacity").cast("int")).filter("capacity > 0").distinct().orderBy("capacity", "budget_name").limit(1001).collect()

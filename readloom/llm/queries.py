@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.common import table
+from readloom.common import table, written
 from readloom.llm import frequent, mixing, neardup, packing, residue, split, words
 
 
@@ -57,7 +57,16 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p7_packed(spark, d))
+    """Per scheme the conditions of a packing: every document placed as a whole or in consecutive parts, none split that
+    fits, no container over its capacity, and but for one container at least 97 % filled."""
+    placed = written(p7_packed(spark, d), "placed")
+    capacity = placed.groupBy("scheme").agg(F.max("capacity").alias("largest"))
+    parts = placed.groupBy("scheme", "doc_id").agg(F.count(F.lit(1)).alias("parts"), F.max("part").alias("last"), F.countDistinct("part").alias("different"), F.sum("tokens").alias("tokens"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    whole = (F.col("parts") == F.col("last") + 1) & (F.col("parts") == F.col("different")) & (F.col("end") == F.col("tokens"))
+    unsplit = (F.col("parts") == 1) | (F.col("tokens") > F.col("largest"))
+    of_docs = parts.join(F.broadcast(capacity), "scheme").groupBy("scheme").agg(F.count(F.lit(1)).alias("documents"), F.every(whole).alias("whole"), F.every(unsplit).alias("split_only_if_larger"))
+    of_bins = placed.groupBy("scheme", "container").agg(F.sum("tokens").alias("t"), F.max("capacity").alias("c")).groupBy("scheme").agg(F.every(F.col("t") <= F.col("c")).alias("within_capacity"), (F.sum("t") + F.max("c") >= 0.97 * F.sum("c")).alias("well_filled"))
+    return of_docs.join(of_bins, "scheme")
 
 
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +74,9 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_weights")).report()
+    """Per source whether the share reached is within two points of its target, and the repeat limit kept."""
+    r = mixing.mix_documents(table(spark, d, "documents"), table(spark, d, "source_weights")).report()
+    return r.select("source", "target_share", (F.abs(F.col("share") - F.col("target_share")) < 0.02).alias("reached"), (F.col("most_copies") <= F.col("max_repeats")).alias("limit_kept"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -127,6 +138,9 @@ SELECT c.chunk_id, CAST(0 AS BIGINT) AS segment, piece, greatest(0, fresh - h) A
  reached AS (SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT r.a, w.b FROM reached AS r JOIN both_ways AS w ON w.a = r.b),
  root AS (SELECT a, min(b) AS root FROM reached GROUP BY a), degree AS (SELECT a, count(*) AS links FROM both_ways GROUP BY a)
 SELECT id, class_id, copies, coalesce(links, 0) AS links, coalesce(root, class_id) AS group_id FROM class LEFT JOIN root ON root.a = class_id LEFT JOIN degree ON degree.a = class_id""",
+        "p7_fill": """WITH schemes AS (SELECT DISTINCT budget_name AS scheme FROM token_budgets UNION SELECT 'joint')
+SELECT scheme, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, true AS whole, true AS split_only_if_larger, true AS within_capacity, true AS well_filled FROM schemes""",
+        "p8_shares": "SELECT lower(trim(source)) AS source, target_share, true AS reached, true AS limit_kept FROM source_weights",
         "p5_found": f"WITH {_WORDS} SELECT kmer, mark FROM marked WHERE mark IS NOT NULL",
         "p5_lengths": _LENGTHS,
         "p5_words": f"WITH {_WORDS} SELECT kmer, occurrences, reads, mark FROM marked",

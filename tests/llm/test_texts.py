@@ -70,11 +70,43 @@ def test_packing(spark):
 
 
 def test_best_fit_takes_the_tightest_room():
-    assert packing.best_fit([7, 6, 4, 3], [10], 10) == [0, 1, 1, 0]
-    assert packing.best_fit([9, 5, 1], [5, 10], 5) == [0, 1, 0]
+    assert packing.best_fit([7, 6, 4, 3], [10]) == [0, 1, 1, 0]
+    assert packing.best_fit([9, 5, 1], [5, 10]) == [0, 1, 0]
     container, capacity = packing.pack(np.array([3, 3, 3, 3]), [5, 12])
     assert capacity.tolist() == [12] and len(set(container)) == 1
     assert packing.pack(np.array([], np.int64), [5])[0].size == 0
+    assert packing.pack(np.array([0, 0]), [5])[1].tolist() == [5]
+
+
+def test_opening_weighs_what_is_to_come():
+    assert packing.least_cost(3, 100, [4, 10]) == 10  # either can be filled: the larger one
+    assert packing.least_cost(3, 4, [4, 10]) == 4  # 4 tokens in 10 cost more
+    assert packing.least_cost(5, 5, [4, 10]) == 10
+
+
+def test_fullest_equals_all_subsets():
+    from itertools import combinations
+
+    for _ in range(30):
+        sizes = [R.randrange(1, 12) for _ in range(8)]
+        for c, chosen in zip((5, 13, 30), packing.fullest(sizes, (5, 13, 30))):
+            sums = {sum(x) for k in range(9) for x in combinations(sizes, k)}
+            assert len(set(chosen)) == len(chosen) and sum(sizes[i] for i in chosen) == max(s for s in sums if s <= c)
+
+
+def test_worst_containers_are_packed_again():
+    # 10 + 10 in two large containers of 16; three of 7 are less.
+    container, capacity = packing.pack(np.array([10, 4, 4, 3, 10]), [7, 16])
+    filled = np.bincount(container, weights=[10, 4, 4, 3, 10])
+    assert (filled <= capacity).all() and capacity.sum() <= 39
+    for _ in range(40):
+        sizes = np.array([R.randrange(0, 100) for _ in range(R.choice([1, 5, 60]))])
+        container, capacity = packing.pack(sizes, [10, 30, 100])
+        filled = np.bincount(container, weights=sizes, minlength=len(capacity))
+        assert len(container) == len(sizes) and container.max() + 1 == len(capacity)
+        assert (filled <= capacity).all() and all(filled[i] > {10: -1, 30: 10, 100: 30}[c] for i, c in enumerate(capacity))
+        single = min((packing.pack(sizes, [100])[1].sum(),))
+        assert capacity.sum() <= single
 
 
 def test_packing_edges(spark):
@@ -125,6 +157,56 @@ def test_rank_decides(spark, monkeypatch):
     assert (whole["a"].documents, whole["b"].documents, whole["b"].most_copies, whole["b"].tokens) == (200, 100, 2, 200)
 
 
+@pytest.mark.parametrize("weight", [None, "part"])
+def test_inclusion_frequencies(spark, weight):
+    """60 sources hold alike documents under different ids: how often a document is taken is what its odds promise."""
+    sizes = [1, 2, 3, 5, 8, 13, 21, 34, 55, 60, 70, 80] * 12
+    rows = [(1000 * s + i, " a" * n, f"s{s:03}", 1 + i % 4) for s in range(60) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, part int")
+    w = spark.createDataFrame([(f"s{s:03}", 1 / 60, 1) for s in range(60)], "source string, target_share double, max_repeats int")
+    m = mixing.Mix(df, w, size=60 * 1600, weight=weight)
+    odds = {r.doc_id: r["lambda"] for r in m.odds().collect()}
+    expected = {i: odds[i] for i in range(len(sizes))}
+    assert sum(p * n for p, n in zip(expected.values(), sizes)) == pytest.approx(1600, rel=0.01)
+    if weight:
+        assert expected[1] == pytest.approx(2 * expected[0]) and expected[3] == pytest.approx(4 * expected[0])
+    else:
+        assert expected[8] == pytest.approx(55 * expected[0]) and 0 < expected[0] < 0.01
+    times = [0] * len(sizes)
+    for r in m.selection().collect():
+        times[r.doc_id % 1000] += 1
+    by_odds = {}
+    for i, p in expected.items():
+        by_odds.setdefault(round(p, 4), []).append(times[i] / 60)
+    # Pareto sampling keeps the odds to within a few points in small samples; the last document is one of thirty.
+    assert all(abs(sum(f) / len(f) - p) < 0.06 for p, f in by_odds.items()), by_odds
+
+
+def test_certain_by_size(spark):
+    """Documents whose odds reach one are always taken; all are where all tokens are wanted."""
+    rows = [(i, " a" * n, "a") for i, n in enumerate([1000, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1])]
+    m = mix(spark, rows, [("a", 1.0, 1)], size=1005)
+    assert {r.doc_id: round(r["lambda"], 9) for r in m.odds().collect()} == {0: 1.0} | dict.fromkeys(range(1, 11), 0.5)
+    assert sum(r.tokens for r in m.selection().collect()) == 1005
+    assert sum(r.tokens for r in mix(spark, rows, [("a", 1.0, 1)]).selection().collect()) == 1010
+
+
+def test_many_sources_without_broadcast(spark, monkeypatch):
+    rows = [(i, " a", f"s{i % 20}") for i in range(400)]
+    weights = [(f"s{i}", 1 / 20, 1) for i in range(20)]
+    want = sorted(map(tuple, mix(spark, rows, weights, size=100).selection().collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(tuple, mix(spark, rows, weights, size=100).selection().collect())) == want and len(want) == 100
+
+
+@pytest.mark.parametrize("name", ["p7_fill", "p8_shares"])
+def test_equals_sql(spark, name):
+    from readloom.llm import queries
+    from tests.oracle import same
+
+    same(spark, "/root/testdata/sf0.01", queries.queries()[name], queries.oracle_sql()[name])
+
+
 def test_mixing_edges(spark):
     assert mix(spark, [], [("a", 1.0, 1)]).selection().count() == 0
     assert mix(spark, [(1, "x", "a")], []).selection().count() == 0
