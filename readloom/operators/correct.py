@@ -4,6 +4,9 @@ Reads that share a minhash in any map are candidates of each other. Every read i
 are aligned in both directions without gaps, those that agree too little are dropped, the rest form columns, reads of
 another genomic region are taken out, and the consensus corrects the anchor. Candidates, alignment and columns are
 bounded per anchor by the limit on buckets, which belongs to the method: larger buckets are repeats.
+
+Pairs are aligned as pairs: each unordered pair of sequences moves once and is aligned from both sides, as bit planes. What
+the limits on mismatches leave is a small part, and only that is piled up on its anchors.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.common import broadcast_if_small, materialize, written
 from readloom.functions import kernels as K
 from readloom.functions.ragged import flat, matrix, to_strings
 from readloom.operators.forest import Forest
@@ -133,20 +137,27 @@ def bucket_sizes(sigs: DataFrame) -> DataFrame:
     return sigs.groupBy("map", "hash").agg(F.count(F.lit(1)).alias("n"))
 
 
-def candidate_lists(sigs: DataFrame, coverage: int = 30) -> DataFrame:
-    """read_id, candidates: reads that share a bucket, each once, without the read itself.
+def candidate_links(sigs: DataFrame, coverage: int = 30, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """a, b (a < b): reads that share a bucket, each pair once. `sigs` is read twice.
 
-    Buckets of one read or more than the limit are emptied before anything is collected: their sizes come from
-    partial counts, so a hot bucket never meets in one task.
+    Buckets of more reads than the limit are emptied before anything is collected: their sizes come from partial
+    counts, so a hot bucket never meets in one task.
     """
-    kept = bucket_sizes(sigs).filter((F.col("n") >= 2) & (F.col("n") <= bucket_limit(coverage))).select("map", "hash")
-    buckets = sigs.join(kept, ["map", "hash"]).groupBy("map", "hash").agg(F.collect_list("read_id").alias("ids"))
-    lists = buckets.select(F.explode("ids").alias("read_id"), "ids").groupBy("read_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("c"))
-    return lists.select("read_id", F.array_sort(F.array_remove("c", F.col("read_id"))).alias("candidates")).filter(F.size("candidates") > 0)
+    large = materialize(bucket_sizes(sigs).filter(F.col("n") > bucket_limit(coverage)).select("map", "hash"))
+    kept = sigs.join(broadcast_if_small(large, large.count(), broadcast_rows), ["map", "hash"], "left_anti")
+    buckets = kept.groupBy("map", "hash").agg(F.array_sort(F.collect_list("read_id")).alias("ids")).filter(F.size("ids") > 1)
+    firsts = buckets.select("ids", F.posexplode("ids").alias("i", "a"))
+    return firsts.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    """read_id, candidate: each of a pair is the other's candidate."""
+    ends = F.array(F.struct(F.col("a").alias("read_id"), F.col("b").alias("candidate")), F.struct(F.col("b").alias("read_id"), F.col("a").alias("candidate")))
+    return links.select(F.inline(ends))
 
 
 def candidate_pairs(sigs: DataFrame, coverage: int = 30) -> DataFrame:
-    return candidate_lists(sigs, coverage).select("read_id", F.explode("candidates").alias("candidate"))
+    return both_ways(candidate_links(written(sigs, "signatures"), coverage))
 
 
 def paired_flags(pairs: DataFrame) -> DataFrame:
@@ -159,35 +170,60 @@ def paired_flags(pairs: DataFrame) -> DataFrame:
 # --- alignment -----------------------------------------------------------------------------------------
 
 
+def _planes(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Three bit planes of rows of bases, 64 columns a word, words before rows: both bits of a base and whether there is one."""
+    code = _INDEX[rows]
+    inside = np.arange(rows.shape[1]) < length[:, None]
+    words = -(-rows.shape[1] // 64)
+    bits = np.zeros((3, len(rows), words * 64), bool)
+    for plane, on in zip(bits, ((code & 2) > 0, (code & 1) > 0, inside)):
+        plane[:, : rows.shape[1]] = on & inside
+    packed = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(packed.transpose(0, 2, 1))
+
+
+def _shift(planes: np.ndarray) -> None:
+    """Drop the first column."""
+    carry = planes[:, 1:] << np.uint64(63)
+    planes >>= np.uint64(1)
+    planes[:, :-1] |= carry
+
+
 def align(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, ratio: float, least: int, least_ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best shift of c along a: (valid, shift, overlap, mismatches). The score is mismatches plus bases outside the
-    overlap; the first of equal scores wins in the order 0, 1, 2, ..., -1, -2, ... Columns past a row's length are 0."""
+    overlap; the first of equal scores wins in the order 0, 1, 2, ..., -1, -2, ... Rows hold A, C, G, T and 0 past their length.
+
+    Columns are compared by 64 as bits, and a shift moves the bits of one side by one place.
+    """
     n = len(la)
     total = la + lc
     need = np.maximum(least, (la * least_ratio).astype(np.int64))
     best, shift = total.copy(), -lc
     over, wrong = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    wa, wc = a.shape[1], c.shape[1]
-    # Padding, 0 on one side and 1 on the other, equals nothing; 8 more columns let rows be counted by 8 bytes.
-    a = np.pad(a, ((0, 0), (0, 8)))
-    c = np.pad(np.where(c == 0, 1, c).astype(np.uint8), ((0, 0), (0, 8)), constant_values=1)
-    for s in [0, *range(1, wa), *range(-1, -wc, -1)]:
-        overlap = np.minimum(la - s, lc) if s >= 0 else np.minimum(la, lc + s)
-        allowed = (overlap * ratio).astype(np.int64)
-        may = (allowed > 0) & (total - 2 * overlap < best)
-        if s:
-            may &= (s <= la - need) if s > 0 else (s >= need - lc)
-        rows = np.flatnonzero(may)
-        if not len(rows):
-            continue
-        w = -(-(min(wa - s, wc) if s >= 0 else min(wa, wc + s)) // 8) * 8
-        left, right = (a[rows, s : s + w], c[rows, :w]) if s >= 0 else (a[rows, :w], c[rows, -s : w - s])
-        equal = np.bitwise_count((left == right).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        miss = overlap[rows] - equal
-        score = miss + total[rows] - 2 * overlap[rows]
-        win = (miss < allowed[rows]) & (score < best[rows])
-        rows = rows[win]
-        best[rows], shift[rows], over[rows], wrong[rows] = score[win], s, overlap[rows], miss[win]
+    width = max(a.shape[1], c.shape[1])
+    allowed_of = (np.arange(width + 1) * ratio).astype(np.int64)
+    plane_a, plane_c = _planes(np.pad(a, ((0, 0), (0, width - a.shape[1]))), la), _planes(np.pad(c, ((0, 0), (0, width - c.shape[1]))), lc)
+
+    def compare(s: int, left: np.ndarray, right: np.ndarray, may: np.ndarray, overlap: np.ndarray) -> None:
+        allowed = allowed_of[np.maximum(overlap, 0)]
+        may &= (allowed > 0) & (total - 2 * overlap < best)
+        if not may.any():
+            return
+        differ = ((left[0] ^ right[0]) | (left[1] ^ right[1])) & left[2] & right[2]
+        miss = np.bitwise_count(differ).sum(axis=0, dtype=np.int64)
+        score = miss + total - 2 * overlap
+        rows = np.flatnonzero(may & (miss < allowed) & (score < best))
+        best[rows], shift[rows], over[rows], wrong[rows] = score[rows], s, overlap[rows], miss[rows]
+
+    compare(0, plane_a, plane_c, np.ones(n, bool), np.minimum(la, lc))
+    moved = plane_a.copy()
+    for s in range(1, int((la - need).max(initial=0)) + 1):
+        _shift(moved)
+        compare(s, moved, plane_c, s <= la - need, np.minimum(la - s, lc))
+    moved = plane_c
+    for s in range(1, int((lc - need).max(initial=0)) + 1):
+        _shift(moved)
+        compare(-s, plane_a, moved, s <= lc - need, np.minimum(la, lc - s))
     return shift != -lc, shift, over, wrong
 
 
@@ -202,12 +238,72 @@ def orient(forward: tuple, reverse: tuple, la: np.ndarray, most: float, least: i
     return (ok1 | ok2) & (ratio < most), take2
 
 
-def mismatch_limit(ratio: np.ndarray, error: float, coverage: int, factor: float) -> float:
-    """The first of 2, 3, 4 times the error rate under which enough candidates lie; none: all are dropped."""
-    for times in (2, 3, 4):
-        if (ratio < times * error).sum() >= coverage * factor and (ratio < 4 * error).any():
-            return times * error
-    return -1.0
+def best_alignments(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each candidate c along its anchor a in both directions: (usable, reverse complement, shift, overlap, mismatches)."""
+    rc = K.reverse_complement(c, lc)
+    rc[np.arange(rc.shape[1]) >= lc[:, None]] = 0
+    limits = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
+    f, r = align(a, la, c, lc, *limits), align(a, la, rc, lc, *limits)
+    ok, rev = orient(f, r, la, 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
+    return ok, rev, *(np.where(rev, r[i], f[i]) for i in (1, 2, 3))
+
+
+_ALIGNED = "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int"
+
+
+def _align_links(o: Options, block: int = 8192):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+            texts = [flat(c) for c in batch.columns[2:4]]
+            lengths = [np.diff(offsets) for _, offsets in texts]
+            size = -(-np.maximum(*lengths) // 64)
+            for g in np.unique(size):
+                group = np.flatnonzero(size == g)
+                for at in range(0, len(group), block):
+                    rows = group[at : at + block]
+                    sides = [matrix(*t, rows, np.zeros(len(n), np.int64), n, max(1, int(n[rows].max()))) for t, n in zip(texts, lengths)]
+                    for x, y in ((0, 1), (1, 0)):
+                        ok, *found = best_alignments(sides[x], lengths[x][rows], sides[y], lengths[y][rows], o)
+                        kept = rows[ok]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[x][kept], pa.int64()), pa.array(ids[y][kept], pa.int64()), pa.array(found[0][ok]), *(pa.array(v[ok].astype(np.int32)) for v in found[1:])],
+                            ["read_id", "candidate", "reverse", "shift", "overlap", "mismatches"],
+                        )
+
+    return run
+
+
+def ready_reads(reads: DataFrame, o: Options) -> DataFrame:
+    """Prepared reads, written once, since candidates, alignment and piles all read them."""
+    ready = prepared(reads)
+    if o.exclude_ambiguous:
+        ready = ready.filter(~F.col("ambiguous"))
+    return written(ready.select("read_id", "seq", quality_bin("qual", o.quality_bits, o.phred).alias("qual")), "ready")
+
+
+def aligned_pairs(ready: DataFrame, o: Options) -> DataFrame:
+    """read_id, candidate, reverse, shift, overlap, mismatches of every usable alignment, and `kept`: whether it agrees enough.
+
+    In SE mode the limit adapts to the anchor: the first of 2, 3, 4 times the error rate under which enough candidates lie, or
+    none; in PE mode candidates whose mates are candidates of each other stay, of others those under the error rate.
+    """
+    k = o.kmer_length or word_length(ready.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("m")).first()["m"])
+    links = written(candidate_links(written(signatures(ready, k, o.hashmaps), "signatures"), o.coverage), "links")
+    text = lambda c: ready.select(F.col("read_id").alias(c), F.col("seq").alias(f"s{c}"))
+    pairs = links.join(text("a"), "a").join(text("b"), "b").select("a", "b", "sa", "sb")
+    found = pairs.mapInArrow(_align_links(o), _ALIGNED)
+    if o.fixed_reads:
+        found = found.filter(F.col("read_id") < o.fixed_reads)
+    ratio = F.col("mismatches") / F.col("overlap")
+    if o.pair_mode == "PE":
+        flags = paired_flags(both_ways(links)).filter("paired")
+        return found.join(flags, ["read_id", "candidate"], "left").withColumn("kept", F.coalesce("paired", F.lit(False)) | (ratio < o.error_factor)).drop("paired")
+    found = written(found, "aligned")
+    under = [F.count(F.when(ratio < times * o.error_factor, 1)) >= o.coverage * o.coverage_factor for times in (2, 3, 4)]
+    limit = F.when(under[0], 2 * o.error_factor).when(under[1], 3 * o.error_factor).when(under[2], 4 * o.error_factor)
+    limits = found.groupBy("read_id").agg(limit.alias("limit"))
+    return found.join(limits, "read_id").withColumn("kept", F.coalesce(ratio < F.col("limit"), F.lit(False))).drop("limit")
 
 
 # --- consensus -----------------------------------------------------------------------------------------
@@ -226,7 +322,8 @@ class Columns:
         base = _INDEX[np.concatenate(rows)]
         key = base * self.width + at
         self.counts = np.bincount(key, minlength=5 * self.width)[: 4 * self.width].reshape(4, self.width)
-        self.weights = np.bincount(key, weights=np.concatenate(weights), minlength=5 * self.width)[: 4 * self.width].reshape(4, self.width)
+        # Rounded, so that no sum depends on the order of its parts.
+        self.weights = np.bincount(key, weights=np.concatenate(weights), minlength=5 * self.width)[: 4 * self.width].reshape(4, self.width).round(9)
         self.coverage = self.counts.sum(axis=0)
         self.consensus = self.weights.argmax(axis=0)  # ties: A, C, G, T
         total = self.weights.sum(axis=0)
@@ -245,9 +342,9 @@ def quality_of(columns: Columns, o: Options) -> tuple[bool, bool]:
     good = average >= 1 - e - _NEAR and least >= 1 - 3 * e - _NEAR and cover >= o.coverage_factor / 6 * o.coverage - _NEAR
     if not good:
         return False, False
-    percent = int(np.ceil(e * 100 - _NEAR))
-    fits = [p for p in range(percent + 1) if average >= 1 - p / 100 - _NEAR and least >= 1 - 3 * p / 100 - _NEAR]
-    return True, min(fits, default=100) <= percent * 0.5 + _NEAR
+    # The least whole percent of errors that support allows, against half of those that are tolerated.
+    percent = np.ceil(100 * (max(1 - average, (1 - least) / 3, 0) - _NEAR))
+    return True, percent <= np.ceil(e * 100 - _NEAR) * 0.5 + _NEAR
 
 
 def other_region(columns: Columns, rows: list[np.ndarray], shifts: np.ndarray, factors: np.ndarray, coverage: int) -> np.ndarray | None:
@@ -335,52 +432,22 @@ def candidate_features(columns: Columns, row: np.ndarray, begin: int, o: Options
 
 
 class Piled:
-    """A batch of anchors with their candidates, all aligned together in both directions."""
+    """A batch of anchors with the candidates that agree with them, aligned."""
 
     def __init__(self, batch: pa.RecordBatch, o: Options) -> None:
         self.o = o
         self.ids = batch.column(0).to_pylist()
-        self.anchors = [s.encode() for s in batch.column(1).to_pylist()]
-        self.quals = [q.encode() for q in batch.column(2).to_pylist()]
+        self.anchors, self.quals = ([s.encode() for s in c.to_pylist()] for c in batch.columns[1:3])
         lists = batch.column(3)
         self.starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         inner = lists.flatten()
         self.candidates = inner.field("id").to_pylist()
-        self.seqs = [s.encode() for s in inner.field("seq").to_pylist()]
-        self.seq_quals = [q.encode() for q in inner.field("qual").to_pylist()]
-        self.paired = inner.field("paired").to_numpy(zero_copy_only=False)
-        self.owner = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
-        n = len(self.candidates)
-        la = np.array([len(self.anchors[i]) for i in self.owner], np.int64)
-        self.length = lc = np.array([len(s) for s in self.seqs], np.int64)
-        self.usable, self.flipped = np.zeros(n, bool), np.zeros(n, bool)
-        self.shift, self.over, self.wrong = (np.zeros(n, np.int64) for _ in range(3))
-        size = -(-np.maximum(la, lc) // 128)
-        for g in np.unique(size):
-            group = np.flatnonzero(size == g)
-            for at in range(0, len(group), 20_000):
-                rows = group[at : at + 20_000]
-                a = _stack([self.anchors[self.owner[r]] for r in rows])
-                c = _stack([self.seqs[r] for r in rows])
-                rc = K.reverse_complement(c, lc[rows])
-                rc[np.arange(rc.shape[1]) >= lc[rows][:, None]] = 0
-                limits = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
-                f, r = align(a, la[rows], c, lc[rows], *limits), align(a, la[rows], rc, lc[rows], *limits)
-                ok, rev = orient(f, r, la[rows], 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
-                self.usable[rows], self.flipped[rows] = ok, rev
-                for target, i in ((self.shift, 1), (self.over, 2), (self.wrong, 3)):
-                    target[rows] = np.where(rev, r[i], f[i])
+        self.seqs, self.seq_quals = ([s.encode() for s in inner.field(c).to_pylist()] for c in ("seq", "qual"))
+        self.length = np.array([len(s) for s in self.seqs], np.int64)
+        self.flipped, self.shift, self.over, self.wrong = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("reverse", "shift", "overlap", "mismatches"))
 
     def kept(self, i: int) -> np.ndarray:
-        """The candidates of anchor i that agree enough with it."""
-        own = np.arange(self.starts[i], self.starts[i + 1])
-        own = own[self.usable[own]]
-        if not len(own):
-            return own
-        ratio, o = self.wrong[own] / self.over[own], self.o
-        if o.pair_mode == "PE":
-            return own[self.paired[own] | (ratio < o.error_factor)]
-        return own[ratio < mismatch_limit(ratio, o.error_factor, o.coverage, o.coverage_factor)]
+        return np.arange(self.starts[i], self.starts[i + 1])
 
     def pile(self, i: int, own: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray] | None, np.ndarray]:
         """(sequences, qualities if they count, weight factors) of anchor i and its candidates in its direction."""
@@ -427,22 +494,6 @@ def _correct(o: Options, forests: tuple[Forest | None, Forest | None]):
     return run
 
 
-def _alignments(o: Options):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = Piled(batch, o)
-            rows = np.flatnonzero(p.usable)
-            kept = np.zeros(len(p.usable), bool)
-            for i in range(len(p.ids)):
-                kept[p.kept(i)] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p.ids[p.owner[r]] for r in rows], pa.int64()), pa.array([p.candidates[r] for r in rows], pa.int64()), pa.array(p.flipped[rows]), *(pa.array(x[rows].astype(np.int32)) for x in (p.shift, p.over, p.wrong)), pa.array(kept[rows])],
-                ["read_id", "candidate", "reverse", "shift", "overlap", "mismatches", "kept"],
-            )
-
-    return run
-
-
 def _consensus(o: Options):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -489,28 +540,14 @@ def _features(o: Options):
     return run
 
 
-def _stack(rows: list[bytes]) -> np.ndarray:
-    length = np.array([len(r) for r in rows], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(length)])
-    text = np.frombuffer(b"".join(rows), np.uint8)
-    n = len(rows)
-    return matrix(text, offsets, np.arange(n), np.zeros(n, np.int64), length, max(1, int(length.max(initial=0))))
-
-
 def piles(reads: DataFrame, o: Options) -> DataFrame:
-    """read_id, seq, qual and the candidates of every anchor that has some; at most hashmaps * bucket_limit of them."""
-    ready = prepared(reads)
-    if o.exclude_ambiguous:
-        ready = ready.filter(~F.col("ambiguous"))
-    anchors = ready.filter(F.col("read_id") < o.fixed_reads) if o.fixed_reads else ready
-    k = o.kmer_length or word_length(ready.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("m")).first()["m"])
-    lists = candidate_lists(signatures(ready, k, o.hashmaps), o.coverage)
-    pairs = lists.select("read_id", F.explode("candidates").alias("candidate"))
-    pairs = paired_flags(pairs) if o.pair_mode == "PE" else pairs.withColumn("paired", F.lit(False))
-    qual = quality_bin("qual", o.quality_bits, o.phred)
-    own = ready.select(F.col("read_id").alias("candidate"), F.col("seq").alias("cseq"), qual.alias("cqual"))
-    grouped = pairs.join(own, "candidate").groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct(F.col("candidate").alias("id"), F.col("cseq").alias("seq"), F.col("cqual").alias("qual"), "paired"))).alias("c"))
-    return anchors.select("read_id", "seq", qual.alias("qual")).join(grouped, "read_id")
+    """read_id, seq, qual and the kept candidates, by id, of every anchor that has some; at most hashmaps * bucket_limit of them."""
+    ready = ready_reads(reads, o)
+    kept = aligned_pairs(ready, o).filter("kept")
+    own = ready.select(F.col("read_id").alias("candidate"), F.col("seq").alias("cseq"), F.col("qual").alias("cqual"))
+    one = F.struct(F.col("candidate").alias("id"), F.col("cseq").alias("seq"), F.col("cqual").alias("qual"), "reverse", "shift", "overlap", "mismatches")
+    grouped = kept.join(own, "candidate").groupBy("read_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return ready.join(grouped, "read_id").select("read_id", "seq", "qual", "c")
 
 
 def corrections(reads: DataFrame, options: Options = Options(), anchor_forest: Forest | None = None, candidate_forest: Forest | None = None) -> DataFrame:
@@ -525,7 +562,7 @@ def corrections(reads: DataFrame, options: Options = Options(), anchor_forest: F
 
 def alignments(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """read_id, candidate, reverse, shift, overlap, mismatches of aligned candidates, and which agree enough to be kept."""
-    return piles(reads, options).mapInArrow(_alignments(options), "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int, kept boolean")
+    return aligned_pairs(ready_reads(reads, options), options)
 
 
 def consensus_columns(reads: DataFrame, options: Options = Options()) -> DataFrame:

@@ -97,8 +97,8 @@ def test_alignment():
         p, q = R.randrange(180), R.randrange(180)
         a, c = g[p : p + R.choice([40, 80, 100])], g[q : q + R.choice([40, 80, 100])]
         rows.append((a, "".join(x if R.random() < 0.95 else R.choice("ACGT") for x in c)))
-    stack = lambda i: correct._stack([r[i].encode() for r in rows])
     size = lambda i: np.array([len(r[i]) for r in rows])
+    stack = lambda i: np.stack([np.frombuffer(r[i].ljust(100, "\0").encode(), np.uint8) for r in rows])
     valid, shift, over, wrong = correct.align(stack(0), size(0), stack(1), size(1), 0.2, 30, 0.3)
     for i, (a, c) in enumerate(rows):
         want = align_by_scan(a, c)
