@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.common import table
 from readloom.operators import badrows, correct, detect, duplicate, hotkeys, longread, orp, pairs, reads, stats, trim, umi
 from readloom.options import Options
 from readloom.plans import pipeline
-from readloom.queries.sql import oracle_sql
+from readloom.queries import correct_sql, sql
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -30,6 +30,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_ALL)
 
 
+def oracle_sql() -> dict[str, str]:
+    return sql.oracle_sql() | correct_sql.oracle_sql()
+
+
 def se(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return reads.single_reads(table(spark, d, "reads_se"), *more)
 
@@ -426,15 +430,28 @@ def align(spark, d):
     return correct.alignments(se(spark, d, "qual"))
 
 
+@query
+def align_mates(spark, d):
+    """Reads 2i and 2i + 1 taken as mates: candidates whose mates are candidates of each other stay."""
+    return correct.alignments(se(spark, d, "qual"), Options(pair_mode="PE"))
+
+
+def millionths(values: str) -> Column:
+    """An array of numbers as text, in whole millionths."""
+    return F.concat_ws(",", F.transform(values, lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")))
+
+
 @query
 def consensus(spark, d):
-    return correct.consensus_columns(se(spark, d, "qual"))
+    found = correct.consensus_columns(se(spark, d, "qual"))
+    return found.withColumns({"support": millionths("support"), "coverage": F.concat_ws(",", F.col("coverage").cast("array<string>"))})
 
 
 @query
 def correction_features(spark, d):
-    """Positions that differ from the consensus; without the features, whose sums depend on the order of addition."""
-    return correct.correction_features(se(spark, d, "qual"), Options(correction_type=2)).drop("features")
+    """Positions that differ from the consensus at a tenfold coverage, where anchors that are not of high quality occur."""
+    found = correct.correction_features(se(spark, d, "qual"), Options(correction_type=2, coverage=10))
+    return found.withColumn("features", millionths("features"))
 
 
 @query
@@ -442,6 +459,12 @@ def corrections(spark, d):
     return correct.corrections(se(spark, d, "qual"), Options(correct_candidates=True))
 
 
+@query
+def corrections_sparse(spark, d):
+    """At a tenfold coverage: also anchors that are not of high quality are corrected, where they can be."""
+    return correct.corrections(se(spark, d, "qual"), Options(correct_candidates=True, coverage=10))
+
+
 @query
 def corrected_reads(spark, d):
     return correct.corrected_reads(se(spark, d, "name", "qual"), Options(correct_candidates=True, quality_labels=True))
