@@ -5,7 +5,10 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+import warnings
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,11 +44,17 @@ def clean_seq(col: str | Column) -> Column:
     return F.upper(F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(WHITE)))
 
 
+def _warn_of_scheme(folder: str) -> None:
+    warnings.warn(f"spark.checkpoint.dir is {folder}, without a scheme: it must be a folder that all executors share", stacklevel=3)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster. Only where none is set (tests on one machine) a local folder is made."""
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if shared:
+        if "://" not in shared and not spark.sparkContext.master.startswith("local") and not conf.get("spark.hadoop.fs.defaultFS", None):
+            _warn_of_scheme(shared)
         return shared
     made = spark.sparkContext.getCheckpointDir()
     if made is None:
@@ -72,28 +81,45 @@ def materialize(df: DataFrame) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; `drop_written` deletes what is put there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/readloom-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a compressed table to the shared folder and read it back; smaller than a checkpoint and columnar.
 
     It stays until `drop_written` is called, since later plans read it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/readloom-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete the tables that `written` left; results made from them can't be computed again. How many there were."""
+def drop_written(spark: SparkSession, first: int = 0) -> int:
+    """Delete the tables that `written` left (from the given one on); results made from them can't be computed again. How
+    many there were."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    n = len(_WRITTEN)
-    while _WRITTEN:
+    n = len(_WRITTEN) - first
+    while len(_WRITTEN) > first:
         path = hadoop.Path(_WRITTEN.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` leaves inside the block are deleted at its end; take results out (write or collect them) before."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        drop_written(spark, before)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast only behind a check of the counted size; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df

@@ -108,6 +108,7 @@ _PARSED = "`__key` bigint, fmt string, payload string, name string, seq string,
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {"name": [], "seq": [], "qual": [], "reason": []}
+        kept: list[str | None] = []
         for fmt, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             try:
                 got, why = parse_record(fmt, payload), None
@@ -116,26 +117,29 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for k, v in zip(("name", "seq", "qual"), got):
                 out[k].append(v)
             out["reason"].append(why)
+            kept.append(payload if why else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1).cast(pa.string()), batch.column(2).cast(pa.string()), *(pa.array(v, pa.string()) for v in out.values())],
+            [batch.column(0), batch.column(1).cast(pa.string()), pa.array(kept, pa.string()), *(pa.array(v, pa.string()) for v in out.values())],
             ["__key", "fmt", "payload", *out],
         )
 
 
 def parse_records(raw: DataFrame, id_col: str = "raw_id") -> DataFrame:
-    """Every record once, with name, seq, qual, or with `reason` (null where it loads).
+    """Every row with name, seq, qual, or with `reason` (null where it loads), without a shuffle.
 
     Needs the id, `fmt` (fastq, tsv, csv) and `payload`; other columns are ignored. A record delivered
-    several times counts once; a null payload is an empty one; an unknown or null `fmt` fails with
+    several times is parsed each time; `good_records` and `bad_records` keep one. A null payload is an empty one; an unknown or null `fmt` fails with
     `columns`. An empty table gives an empty result.
     """
-    once = raw.select(F.col(id_col).cast("bigint").alias("__key"), F.col("fmt").cast("string").alias("fmt"), F.col("payload").cast("string").alias("payload")).distinct()
-    return once.mapInArrow(_parse_batches, _PARSED).withColumnRenamed("__key", id_col)
+    rows = raw.select(F.col(id_col).cast("bigint").alias("__key"), F.col("fmt").cast("string").alias("fmt"), F.col("payload").cast("string").alias("payload"))
+    return rows.mapInArrow(_parse_batches, _PARSED).withColumnRenamed("__key", id_col)
 
 
 def good_records(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reason").isNull()).drop("reason", "payload")
+    """The records that load, each once: only what loads is shuffled to find repeats."""
+    return parsed.filter(F.col("reason").isNull()).drop("reason", "payload").distinct()
 
 
 def bad_records(parsed: DataFrame) -> DataFrame:
-    return parsed.filter(F.col("reason").isNotNull()).drop("name", "seq", "qual")
+    """The records that fail, each once, with the reason and what was delivered; the others aren't shuffled."""
+    return parsed.filter(F.col("reason").isNotNull()).drop("name", "seq", "qual").distinct()

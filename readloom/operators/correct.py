@@ -275,21 +275,37 @@ def _align_links(o: Options, block: int = 8192):
 
 
 def ready_reads(reads: DataFrame, o: Options) -> DataFrame:
-    """Prepared reads, written once, since candidates, alignment and piles all read them."""
-    ready = prepared(reads)
+    """Prepared reads, written once, since candidates, alignment and piles all read them; from and to a snapshot by option."""
+    spark = reads.sparkSession
+    ready = spark.read.parquet(o.load_reads) if o.load_reads else prepared(reads)
+    if o.save_reads:
+        ready.write.mode("overwrite" if o.overwrite else "errorifexists").parquet(o.save_reads)
+        ready = spark.read.parquet(o.save_reads)
     if o.exclude_ambiguous:
         ready = ready.filter(~F.col("ambiguous"))
     return written(ready.select("read_id", "seq", quality_bin("qual", o.quality_bits, o.phred).alias("qual")), "ready")
 
 
+def stored_signatures(ready: DataFrame, o: Options) -> DataFrame:
+    """Signatures of prepared reads, written once; from and to a snapshot by option."""
+    spark = ready.sparkSession
+    if o.load_signatures:
+        return spark.read.parquet(o.load_signatures)
+    k = o.kmer_length or word_length(ready.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("m")).first()["m"])
+    sigs = signatures(ready, k, o.hashmaps)
+    if o.save_signatures:
+        sigs.write.mode("overwrite" if o.overwrite else "errorifexists").parquet(o.save_signatures)
+        return spark.read.parquet(o.save_signatures)
+    return written(sigs, "signatures")
+
+
 def aligned_pairs(ready: DataFrame, o: Options) -> DataFrame:
     """read_id, candidate, reverse, shift, overlap, mismatches of every usable alignment, and `kept`: whether it agrees enough.
 
     In SE mode the limit adapts to the anchor: the first of 2, 3, 4 times the error rate under which enough candidates lie, or
     none; in PE mode candidates whose mates are candidates of each other stay, of others those under the error rate.
     """
-    k = o.kmer_length or word_length(ready.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("m")).first()["m"])
-    links = written(candidate_links(written(signatures(ready, k, o.hashmaps), "signatures"), o.coverage), "links")
+    links = written(candidate_links(stored_signatures(ready, o), o.coverage), "links")
     text = lambda c: ready.select(F.col("read_id").alias(c), F.col("seq").alias(f"s{c}"))
     pairs = links.join(text("a"), "a").join(text("b"), "b").select("a", "b", "sa", "sb")
     found = pairs.mapInArrow(_align_links(o), _ALIGNED)

@@ -62,12 +62,15 @@ def hot_sequences(head: DataFrame, longest: int | None = None) -> DataFrame:
     return without_contained(hot)
 
 
-def without_contained(hot: DataFrame, times: int = 10) -> DataFrame:
+def without_contained(hot: DataFrame, times: int = 10, most_lengths: int = 1000) -> DataFrame:
     """Drop a word that a longer or other word contains unless it is `times` as frequent (whole quotient).
 
-    Containment is an equality join: every word is cut into its windows of the lengths that occur.
+    Containment is an equality join: every word is cut into its windows of the lengths that occur. Hot words have
+    five lengths; more than `most_lengths` are refused.
     """
-    sizes = [r["k"] for r in hot.select(F.length("word").alias("k")).distinct().limit(1000).collect()]
+    sizes = [r["k"] for r in hot.select(F.length("word").alias("k")).distinct().limit(most_lengths + 1).collect()]
+    if len(sizes) > most_lengths:
+        raise ValueError(f"words of more than {most_lengths} lengths")
     inner = None
     for k in sorted(sizes):
         w = hot.filter(F.length("word") > k).select(F.explode(F.expr(f"transform(sequence(1, length(word) - {k} + 1), i -> substring(word, i, {k}))")).alias("word"), F.col("n").alias("n2"))

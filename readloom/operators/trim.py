@@ -127,5 +127,5 @@ def trimmed_adapters(cut: DataFrame, column: str = "after", least: int = 0, shar
     """How often each trimmed sequence was cut, of those that make up more than `share` of all: adapter, n."""
     rows = cut.filter((F.col("adapter_bases") > 0) & (F.length(column) >= least))
     counts = rows.groupBy(F.col(column).alias("adapter")).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
-    return counts.filter(F.col("n") > share * F.lit(total))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    return counts.join(F.broadcast(total)).filter(F.col("n") > share * F.col("total")).drop("total")

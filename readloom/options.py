@@ -86,6 +86,13 @@ class Options:
     candidate_columns: int = 15
     correction_type: int = 0
     correction_type_candidates: int = 0
+    # snapshots of the corrector: folders of prepared reads and of signatures
+    save_reads: str = ""
+    load_reads: str = ""
+    save_signatures: str = ""
+    load_signatures: str = ""
+    # over-represented sequences as a table next to the output
+    print_overrepresented: bool = False
 
     @property
     def phred(self) -> int:
@@ -128,6 +135,8 @@ class Options:
             raise OptionError("correction types are 0, 1, 2")
         if not 1 <= o.hashmaps or not 0 <= o.kmer_length <= 32:
             raise OptionError("hashmaps must be positive, kmer_length at most 32")
+        if o.print_overrepresented and not (o.overrepresented and o.out_file1):
+            raise OptionError("over-represented sequences are printed beside an output and need their search")
         if o.overrepresented_sampling < 1:
             raise OptionError("overrepresented_sampling must be positive")
         # In pairs what is set for mate 1 holds for mate 2 too.
@@ -151,11 +160,14 @@ FLAGS = {
     "--useQualityScores": ("quality_scores", True), "--qualityScoreBits": ("quality_bits", None), "--excludeAmbiguous": ("exclude_ambiguous", True), "--maxmismatchratio": ("max_mismatch_ratio", None),
     "--minalignmentoverlap": ("min_overlap", None), "--minalignmentoverlapratio": ("min_overlap_ratio", None), "--errorfactortuning": ("error_factor", None), "--coveragefactortuning": ("coverage_factor", None),
     "--fixedNumberOfReads": ("fixed_reads", None), "--correctionQualityLabels": ("quality_labels", True), "--candidateCorrection": ("correct_candidates", True), "--candidateCorrectionNewColumns": ("candidate_columns", None),
+    "--save-preprocessedreads-to": ("save_reads", None), "--load-preprocessedreads-from": ("load_reads", None), "--save-hashtables-to": ("save_signatures", None), "--load-hashtables-from": ("load_signatures", None), "--printORPSeqs": ("print_overrepresented", True),
     "--correctionType": ("correction_type", None), "--correctionTypeCands": ("correction_type_candidates", None),
 }
 
-#: Flags that tune threads, memory, temporary files or snapshots; Spark's own settings do that here. True: takes a value.
-WITHOUT_EFFECT = {"--stdin": False, "--stdout": False, "-w": True, "--threadNum": True, "--printORPSeqs": False, "--enforceHashmapCount": False, "--showProgress": False, "--tempdir": True, "--memHashtables": True, "--memTotal": True, "--hashloadfactor": True, "--singlehash": False, "--save-preprocessedreads-to": True, "--load-preprocessedreads-from": True, "--save-hashtables-to": True, "--load-hashtables-from": True}
+#: Flags that tune threads, memory or temporary files; Spark's own settings do that here. True: takes a value.
+WITHOUT_EFFECT = {"-w": True, "--threadNum": True, "--enforceHashmapCount": False, "--showProgress": False, "--tempdir": True, "--memHashtables": True, "--memTotal": True, "--hashloadfactor": True, "--singlehash": False}
+#: Flags that would need the standard streams of one machine; they are refused, since ignoring them would lose data.
+REFUSED = {"--stdin": "give the path of a file or folder", "--stdout": "give the path of an output folder"}
 
 
 def parse(arguments: list[str], ignore: dict[str, bool] | None = None) -> Options:
@@ -170,6 +182,8 @@ def parse(arguments: list[str], ignore: dict[str, bool] | None = None) -> Option
             if ignored[flag] and not given and rest:
                 rest.pop(0)
             continue
+        if flag in REFUSED:
+            raise OptionError(f"{flag} has no meaning on a cluster: {REFUSED[flag]}")
         if flag not in FLAGS:
             raise OptionError(f"unknown option {flag}")
         name, value = FLAGS[flag]

@@ -102,6 +102,9 @@ def run(spark: SparkSession, options: Options) -> Result:
     if o.paired:
         source = fastq.read_interleaved(spark, o.in_file1) if o.interleaved_in else fastq.read_pairs(spark, o.in_file1, o.in_file2)
         result = paired(source, o, listed)
+        if o.print_overrepresented:
+            for name in (n for n in result.tables if n.startswith("overrepresented_")):
+                sinks.save_snapshot(result.tables[name], f"{o.out_file1.rstrip('/')}_{name}", o.overwrite)
         gz = o.out_file1.endswith(".gz")
         if o.out_file1 and o.interleaved_out:
             sinks.write_interleaved(result.passed, o.out_file1, o.keep_order, gz, o.overwrite, o.compress_level)
@@ -109,6 +112,9 @@ def run(spark: SparkSession, options: Options) -> Result:
             sinks.write_pairs(result.passed, o.out_file1, o.out_file2, o.keep_order, gz, o.overwrite, o.compress_level)
         return result
     result = single(fastq.read_fastq(spark, o.in_file1), o, listed)
+    if o.print_overrepresented:
+        for when in ("before", "after"):
+            sinks.save_snapshot(result.tables[f"overrepresented_{when}"], f"{o.out_file1.rstrip('/')}_overrepresented_{when}", o.overwrite)
     if o.out_file1:
         sinks.write_fastq(result.passed, o.out_file1, o.keep_order, o.out_file1.endswith(".gz"), o.overwrite, o.compress_level)
     return result

@@ -56,23 +56,35 @@ def name_prefix(path: str) -> str:
     return name
 
 
-def summary_text(totals: DataFrame, codes: DataFrame | None = None) -> str:
-    """The totals (one row) and the filter's counts as lines of text."""
+def summary_text(totals: DataFrame, codes: DataFrame | None = None, duplicates: DataFrame | None = None, insert_peak: DataFrame | None = None, adapters: DataFrame | None = None, most_adapters: int = 1000) -> str:
+    """The totals (one row), the filter's counts, the rate of duplicates, the peak of insert sizes and the adapters that were
+    trimmed as lines of text. Of more than `most_adapters` adapters the most frequent are listed, and the number of the rest."""
     lines = [f"{k.replace('_', ' ')} {v}" for k, v in totals.first().asDict().items()]
     names = {0: "passed", 1: "too many N", 2: "too short", 3: "too long", 4: "low quality"}
     if codes is not None:
         found = {r["code"]: r["reads"] for r in codes.collect()}
         lines += [f"{text} {found.get(code, 0)}" for code, text in names.items()]
+    if duplicates is not None:
+        lines.append(f"duplication rate {duplicates.first()['rate']}")
+    if insert_peak is not None:
+        peak = insert_peak.first()
+        lines.append(f"insert size peak {peak['peak'] if peak else 'none'}")
+    if adapters is not None:
+        lines += [f"adapter {r['adapter']} {r['n']}" for r in adapters.orderBy(F.desc("n"), "adapter").limit(most_adapters).collect()]
+        more = adapters.count() - most_adapters
+        lines += [f"and {more} more adapters"] if more > 0 else []
     return "\n".join(lines)
 
 
 def summary_html(tables: dict[str, DataFrame], most_rows: int = 1000) -> str:
-    """A plain page of the report's tables. Reports are small; a table is shown up to `most_rows` rows."""
+    """A plain page of the report's tables. Of a table of more than `most_rows` rows the first are shown, and how many there are."""
     import html
 
     parts = []
     for title, df in tables.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
         rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(most_rows).collect())
-        parts.append(f"<h2>{html.escape(title)}</h2><table><tr>{head}</tr>{rows}</table>")
+        shown = df.limit(most_rows + 1).count()
+        more = f"<p>The first {most_rows} of {df.count()} rows</p>" if shown > most_rows else ""
+        parts.append(f"<h2>{html.escape(title)}</h2>{more}<table><tr>{head}</tr>{rows}</table>")
     return "<!doctype html><meta charset='utf-8'><title>Read quality</title>" + "".join(parts)

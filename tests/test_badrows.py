@@ -75,6 +75,7 @@ def test_edges(spark):
     rows = [(1, "csv", None, "x", 1), (1, "csv", None, "x", 1), (2, "tsv", "@a\tACG\tIII", "x", 2), (3, None, "a", None, None), (4, "fastq", "@" + "a" * 500_000 + "\n" + "A" * 500_000 + "\n+\n" + "I" * 500_000, None, None), (None, "csv", "", None, None)]
     parsed = badrows.parse_records(spark.createDataFrame(rows, schema))
     assert {(r.raw_id, r.reason) for r in parsed.collect()} == {(1, "columns"), (2, None), (3, "columns"), (4, None), (None, "columns")}
-    assert parsed.count() == 5
+    assert sorted((r.raw_id or 0, r.reason, r.payload) for r in badrows.bad_records(parsed).collect()) == [(0, "columns", ""), (1, "columns", None), (3, "columns", "a")]
+    assert badrows.good_records(parsed).count() == 2
     assert badrows.good_records(parsed).filter("raw_id = 4").select("seq").first().seq == "A" * 500_000
     assert badrows.parse_records(spark.createDataFrame([], schema)).count() == 0

@@ -1,5 +1,6 @@
 import gzip
 import random
+import zlib
 
 import pytest
 
@@ -45,6 +46,57 @@ def test_gzip_many_files_and_empty(spark, tmp_path):
         fastq.read_fastq(spark, str(tmp_path / "none.fq")).count()
 
 
+def bgzf(text, size):
+    """The text in blocks of so many bytes, each with its compressed size in the extra field, and the empty block at the end."""
+    out = b""
+    for at in [*range(0, len(text), size), len(text)]:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        part = text[at : at + size]
+        body = c.compress(part) + c.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff\x06\x00BC\x02\x00" + (len(body) + 25).to_bytes(2, "little")
+        out += head + body + zlib.crc32(part).to_bytes(4, "little") + len(part).to_bytes(4, "little")
+    return out
+
+
+@pytest.mark.parametrize("size,split", [(97, 500), (1000, 300), (60_000, 1 << 20), (33, 64)])
+def test_blocks_of_gzip_are_cut(spark, tmp_path, size, split):
+    rows = records(200)
+    text = "".join("\n".join(r) + "\n" for r in rows).encode()
+    data = bgzf(text, size)
+    assert gzip.decompress(data) == text
+    p = tmp_path / "a.fq.gz"
+    p.write_bytes(data)
+    assert fastq.is_bgzf(str(p))
+    parts = fastq._Reader({"path": str(p), "splitbytes": split}, False).partitions()
+    assert len(parts) == -(-len(data) // split)
+    got = fastq.read_fastq(spark, str(p), split).orderBy("read_id").collect()
+    assert [tuple(r) for r in got] == [(i, *r) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("split", [40, 1 << 20])
+def test_broken_records_have_a_reason(spark, tmp_path, split):
+    p = tmp_path / "a.fq"
+    p.write_text("@a\nAC\n+\nII\n\n\n@b\nACG\nIII\n@c\nA\n+\nI\nnoise\nmore\n@d\nAC\n+d\n@I\n@e\n\n+\n\n@f\nACGT\n+\n")
+    good = fastq.read_fastq(spark, str(p), split).orderBy("read_id").collect()
+    assert [(r.read_id, r.name, r.seq, r.qual) for r in good] == [(0, "@a", "AC", "II"), (1, "@c", "A", "I"), (2, "@d", "AC", "@I"), (3, "@e", "", "")]
+    bad = fastq.broken_records(spark, str(p), split).orderBy("offset").collect()
+    assert [(r.reason, r.text) for r in bad] == [("separator", "@b\nACG\nIII"), ("header", "noise\nmore"), ("truncated", "@f\nACGT\n+")]
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_blocks_of_bytes_change_nothing(monkeypatch, tmp_path, block):
+    monkeypatch.setattr(fastq, "_BLOCK", block)
+    rows = records(60)
+    p = tmp_path / "a.fq"
+    p.write_text("".join("\n".join(r) + "\n" for r in rows))
+    for split in (50, 1 << 20):
+        got = []
+        for r in fastq._Reader({"path": str(p), "splitbytes": split}, False).partitions():
+            for _, columns in fastq.fastq_batches(r):
+                got += list(zip(*(c.to_pylist() for c in columns[:4])))
+        assert got == rows
+
+
 @pytest.mark.parametrize("split", [30, 1 << 20])
 def test_fasta(spark, tmp_path, split):
     p = tmp_path / "a.fa"
@@ -104,3 +156,40 @@ def test_options():
     o = parse(["-i", "a", "-I", "b", "--trimFront1", "3", "--trimFront2", "1", "-w", "8", "-g", "-a", "--notKeepOrder"])
     assert (o.front2, o.poly_g, o.trim_adapter, o.keep_order, o.paired) == (3, True, False, False, True)
     assert Options().checked() == Options()
+
+
+def test_flags_that_act_or_are_refused(spark, tmp_path, data):
+    for flag in ("--stdin", "--stdout"):
+        with pytest.raises(OptionError):
+            parse([flag])
+    with pytest.raises(OptionError):
+        parse(["--printORPSeqs"])
+    o = parse(["--save-preprocessedreads-to", str(tmp_path / "reads"), f"--save-hashtables-to={tmp_path / 'sigs'}", "--coverage", "10"])
+    from readloom.operators import correct, reads
+
+    t = reads.single_reads(spark.read.parquet(f"{data}/reads_se.parquet"), "qual")
+    first = sorted(map(tuple, correct.corrections(t, o).collect()))
+    assert spark.read.parquet(str(tmp_path / "reads")).count() == t.count() and first
+    again = parse(["--load-preprocessedreads-from", str(tmp_path / "reads"), "--load-hashtables-from", str(tmp_path / "sigs"), "--coverage", "10"])
+    assert sorted(map(tuple, correct.corrections(t.limit(0), again).collect())) == first
+
+
+def test_report_tells_what_it_leaves_out(spark):
+    page = sinks.summary_html({"t": spark.range(30)}, 10)
+    assert "The first 10 of 30 rows" in page and "The first" not in sinks.summary_html({"t": spark.range(10)}, 10)
+    adapters = spark.createDataFrame([("ACGT", 3), ("GG", 9)], "adapter string, n bigint")
+    rate, peak = spark.createDataFrame([(0.25,)], "rate double"), spark.createDataFrame([(150, 9)], "peak int, pairs bigint")
+    text = sinks.summary_text(spark.createDataFrame([(5,)], "reads bigint"), None, rate, peak, adapters, most_adapters=1)
+    assert text.splitlines() == ["reads 5", "duplication rate 0.25", "insert size peak 150", "adapter GG 9", "and 1 more adapters"]
+
+
+def test_stages_are_deleted(spark):
+    from pathlib import Path
+
+    from readloom import common
+
+    with common.stages(spark):
+        common.written(spark.range(3), "x")
+        path = common._WRITTEN[-1]
+        assert Path(path).exists()
+    assert not Path(path).exists() and path not in common._WRITTEN
