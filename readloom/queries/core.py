@@ -12,7 +12,7 @@ from readloom.common import table
 from readloom.operators import badrows, correct, detect, duplicate, hotkeys, longread, orp, pairs, reads, stats, trim, umi
 from readloom.options import Options
 from readloom.plans import pipeline
-from readloom.queries import correct_sql, sql
+from readloom.queries import correct_sql, files, sql
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -27,11 +27,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_ALL)
+    return _ALL | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql() | correct_sql.oracle_sql()
+    return sql.oracle_sql() | correct_sql.oracle_sql() | files.oracle_sql()
 
 
 def se(spark: SparkSession, d: str, *more: str) -> DataFrame:

@@ -247,11 +247,11 @@ def fastq_batches(r: Range) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
             if stops[line] == starts[line]:
                 line += 1
                 continue
-            if starts[line] + base > last:
-                done = True
-                break
+            # The next range begins at the first record it is sure of, so what is broken before that belongs to this one.
+            done = starts[line] + base > last
             found = _next_record(at_sign, plus, line + 1)
             if found < 0 and data:
+                done = False
                 break
             reason = "header" if not at_sign[line] else "truncated" if line + 4 > len(ends) else "separator"
             stop = found if found >= 0 else len(ends)
