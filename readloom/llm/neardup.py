@@ -178,13 +178,15 @@ def _verify(k: int, threshold: Fraction):
     return run
 
 
-def spread_self_join(rows: DataFrame, key: str, value: str, size: str | None = None, ratio: float = 0.0) -> DataFrame:
+def spread_self_join(rows: DataFrame, key: str, value: str, size: str | None = None, ratio: float = 0.0, counts: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of values that share a key, each once; with `size` only those whose sizes are within the ratio.
+    `counts` (key, n) of the keys to join, if they are known already.
 
     Keys with one row are dropped first. A key with many rows is cut into blocks of HOT: its left rows go to
     their block's task, its right rows to each, so that no task takes more than HOT rows times the key's.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1)
+    counted = counts if counts is not None else rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.filter("n > 1").select(key, F.col("n").alias("__n"))
     shared = materialize(rows.join(sizes, key))
     blocks = F.ceil(F.col("__n") / HOT).cast("int")
     more = lambda name: [F.col(size).alias(name)] if size else []
@@ -228,14 +230,14 @@ class NearDuplicates:
         # Written once: bucket sizes and joins read it, and signatures are the costly part.
         sketched = written(leaders.mapInArrow(_sketched(bands, rows, k), "id bigint, buckets array<bigint>, sketch binary"), "sketches")
         banded = sketched.select("id", F.explode("buckets").alias("bucket"))
-        hot = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_BAND))
+        counts = written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+        hot = counts.filter(F.col("n") > HOT_BAND)
         n_hot = hot.count()
-        cold, crowded = banded, None
+        crowded = None
         if n_hot:
             small = broadcast_if_small(hot.select("bucket"), n_hot, BROADCAST_IDS)
-            cold = banded.join(small, "bucket", "left_anti")
             crowded = materialize(banded.join(small, "bucket", "left_semi").select("id").distinct())
-        self._candidates = spread_self_join(cold, "bucket", "id")
+        self._candidates = spread_self_join(banded, "bucket", "id", counts=counts.filter(F.col("n") <= HOT_BAND))
         if crowded is not None:
             self._candidates = self._candidates.unionByName(self._by_rarest(leaders, crowded, k, exact)).distinct()
         self._candidates = materialize(self._candidates)

@@ -129,7 +129,7 @@ def marked(row: Column) -> Column:
     return F.when(row["last"], F.concat(F.upper(F.substr(text, F.lit(1), F.length(text) - 1)), F.lower(F.right(text, F.lit(1))))).otherwise(F.upper(text))
 
 
-def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
+def split_chunks(chunks: DataFrame, records: DataFrame, texts: bool = True) -> DataFrame:
     """Ordered pieces of every chunk: chunk_id, segment, piece, start, fresh, n_bases, first_gid, last_gid, bases.
 
     A piece holds at most max_bases bases: those from `fresh` on are new, those before it, from `start`, are the
@@ -141,6 +141,8 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     file, or a max_bases that is null or below 1 have no pieces, nor have chunks without bases. Bases are the letters
     of seq; other columns are ignored. Empty tables give an empty result.
 
+    Without `texts` the pieces come without their bases, so that only the marks of the records move.
+
     Time grows with the bases that come out: texts are cut by one pass of the expression, offsets are running totals, and
     slices don't walk the text. A chunk of any size is cut in segments by its running total of bases, found in two levels (sums of blocks of
     gids, then inside a block), so no task holds a chunk. All segments but the last hold at least 14 * max_bases.
@@ -170,10 +172,11 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
         .select("chunk_id", "segment", "max_bases", F.least("halo", F.col("max_bases") - 1).alias("halo"), "origin", "r")
         # The records in order: those that end in the segment and the one that goes on.
         .withColumn("gids", F.concat(F.transform(F.filter("r", lambda x: x["last"]), lambda x: x["gid"]), F.array(F.element_at("r", -1)["gid"])))
-        .select("chunk_id", "segment", "max_bases", "halo", "origin", "gids", F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("bases"), F.array_join(F.transform("r", marked), "").alias("marks"))
+        .select("chunk_id", "segment", "max_bases", "halo", "origin", "gids", *([F.array_join(F.transform("r", lambda x: x["piece"]), "").alias("bases")] if texts else []), F.array_join(F.transform("r", marked), "").alias("marks"))
     )
-    tails = segments.select("chunk_id", (F.col("segment") + 1).alias("segment"), F.right("bases", F.col("halo").cast("int")).alias("tail"))
-    whole = segments.join(tails, ["chunk_id", "segment"], "left").withColumn("tail", F.coalesce("tail", F.lit("")))
+    tail = F.right("bases", F.col("halo").cast("int")).alias("tail") if texts else F.lit("").alias("tail")
+    tails = segments.select("chunk_id", (F.col("segment") + 1).alias("segment"), F.least(F.length("marks"), F.col("halo")).cast("int").alias("lead"), tail)
+    whole = segments.join(tails, ["chunk_id", "segment"], "left").withColumns({"tail": F.coalesce("tail", F.lit("")), "lead": F.coalesce("lead", F.lit(0))})
     room = F.col("max_bases") - F.col("halo")
     limit = F.when(F.col("segment") == 0, F.col("max_bases")).otherwise(room)
     first = F.element_at(F.regexp_extract_all(F.substr(F.col("marks"), F.lit(1), limit.cast("int")), record_pattern(limit), F.lit(0)), 1)
@@ -184,7 +187,8 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
     whole = whole.withColumns({"lengths": F.transform("p", lambda x: F.length(x)), "lasts": F.transform("p", lambda x: F.length(F.translate(x, UPPER, "")))})
     ends, ended = running_totals("lengths"), running_totals("lasts")
     # Of letters every one is a byte, and bytes are sliced without walking through the text before.
-    whole = whole.select("chunk_id", "segment", "origin", "halo", "gids", F.encode(F.concat("tail", "bases"), "US-ASCII").alias("text"), F.length("tail").alias("lead"), "p", ends.alias("ends"), ended.alias("ended"))
+    text = [F.encode(F.concat("tail", "bases"), "US-ASCII").alias("text")] if texts else []
+    whole = whole.select("chunk_id", "segment", "origin", "halo", "gids", *text, "lead", "p", ends.alias("ends"), ended.alias("ended"))
 
     def cut(i: Column) -> Column:
         fresh = F.when(i > 0, F.col("ends")[i - 1]).otherwise(F.lit(0))
@@ -199,7 +203,7 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
             (end - start).alias("n_bases"),
             F.col("gids")[begun.cast("int")].alias("first_gid"),
             F.col("gids")[inside.cast("int")].alias("last_gid"),
-            F.decode(F.substring(F.col("text"), (F.col("lead") + start + 1).cast("int"), (end - start).cast("int")), "US-ASCII").alias("bases"),
+            *([F.decode(F.substring(F.col("text"), (F.col("lead") + start + 1).cast("int"), (end - start).cast("int")), "US-ASCII").alias("bases")] if texts else []),
         )
 
     cuts = F.transform(F.sequence(F.lit(0), F.size("p") - 1), cut)
@@ -213,7 +217,7 @@ def split_chunks(chunks: DataFrame, records: DataFrame) -> DataFrame:
         F.col("cut.n_bases").cast("int").alias("n_bases"),
         "cut.first_gid",
         "cut.last_gid",
-        "cut.bases",
+        *(["cut.bases"] if texts else []),
     )
 
 

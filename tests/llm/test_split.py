@@ -49,6 +49,8 @@ def test_pieces(spark, limit, halo, monkeypatch):
     cuts = {p.fresh for p in mine if p.piece == 0}
     check(mine, whole, limit, halo, sorted(set(ends) | cuts))
     assert [p.bases for p in got if p.chunk_id == 8] == ["".join(seqs[10:21])]
+    bare = split.split_chunks(spark.createDataFrame(chunks, C), spark.createDataFrame(records, F), texts=False)
+    assert sorted(map(tuple, bare.collect())) == sorted(tuple(p)[:-1] for p in got)
     found = {r.chunk_id: r.gid for r in split.oversized_chunks(split.split_chunks(spark.createDataFrame(chunks, C), spark.createDataFrame(records, F))).collect()}
     assert found == {7: 100 + next(i for i, e in enumerate(ends) if e > limit)}
 
