@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom.common import materialize, written
 from readloom.functions.ragged import flat
 from readloom.operators.reads import bounded_head
 from readloom.operators.stats import packed_words, words_of
@@ -60,78 +61,84 @@ def top_seeds(counts: DataFrame, k: int = TOP) -> DataFrame:
     return counts.orderBy(F.desc("n"), F.desc(F.translate("seed", "ATCG", "0123"))).limit(k)
 
 
-def dominant_path(counts: dict[str, int]) -> tuple[str, bool]:
-    """Along the prefixes while one letter has nearly all; whether the end is for want of observations."""
+def dominant_path(texts: list[str], counts: np.ndarray) -> tuple[str, bool]:
+    """Along the letters that nearly all of the texts share from their beginning; whether the end is for want of observations."""
+    width = max(map(len, texts), default=0)
+    letters = np.array([t.encode().ljust(width + 1, b"\0") for t in texts], f"S{width + 1}").view(np.uint8).reshape(len(texts), -1) if texts else np.zeros((0, 1), np.uint8)
+    on = np.arange(len(texts))
     path = ""
-    children: dict[str, dict[str, int]] = {}
-    for p, n in counts.items():
-        children.setdefault(p[:-1], {})[p[-1]] = n
     while True:
-        below = children.get(path, {})
-        total = sum(below.values())
+        column = letters[on, len(path)] if len(path) <= width else np.zeros(0, np.uint8)
+        by = np.bincount(column, weights=counts[on], minlength=256) if len(column) else np.zeros(256)
+        by[0] = 0  # texts that end here
+        total = by.sum()
         if total < OBSERVED:
             return path, True
-        letter, n = max(below.items(), key=lambda x: x[1])
-        if n / total < DOMINANT:
+        letter = int(by.argmax())
+        if by[letter] / total < DOMINANT:
             return path, False
-        path += letter
+        on = on[column == letter]
+        path += chr(letter)
 
 
-def detect_adapter(reads: DataFrame, trim_tail: int = 0, least_reads: int = LEAST_READS) -> str:
-    """The adapter of the reads (read_id in file order, seq), or an empty string.
-
-    Only the head of the file is looked at, whose size is a fixed value. Extension counts prefixes of what follows
-    and precedes the seed in one job; only prefixes seen often come back.
-    """
-    head = bounded_head(reads.select("read_id", F.upper("seq").alias("seq")), F.length("seq"), HEAD_READS, HEAD_BASES).cache()
-    try:
-        if head.count() < least_reads:
-            return ""
-        counts = seed_counts(head, trim_tail)
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-        shift = max(1, trim_tail)
-        for row in top_seeds(counts).collect():
-            seed, n = row["seed"], row["n"]
-            if n < 10 or n * 4**SEED < total * FOLD:
-                break
-            if sum(a != b for a, b in zip(seed, seed[1:])) < 3:
-                continue
-            paths, leaf = [], True
-            for side in ("after", "before"):
-                text, leaf_here = dominant_path(_extension(head, seed, side, shift))
-                leaf &= leaf_here
-                paths.append(text)
-            adapter = (paths[1][::-1] + seed + paths[0])[:LONGEST]
-            known = next((k for k in KNOWN if adapter.startswith(k)), None)
-            if known:
-                return known
-            if leaf:
-                return adapter
-        return ""
-    finally:
-        head.unpersist()
+def _contexts(seeds: list[str], shift: int):
+    """What follows each occurrence of a seed, and what precedes it backwards, counted per batch."""
 
-
-def _prefixes(seed: str, side: str, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
         for batch in batches:
+            counts: dict[tuple[int, str, str], int] = {}
             for seq in batch.column(0).to_pylist():
-                at = seq.find(seed, FIRST_POSITION)
-                while 0 <= at <= len(seq) - SEED - shift:
-                    text = seq[at + SEED : len(seq) - shift] if side == "after" else seq[:at][::-1]
-                    for i in range(1, min(len(text), LONGEST if side == "after" else LONGEST_BEFORE) + 1):
-                        p = text[:i]
-                        counts[p] = counts.get(p, 0) + 1
-                    at = seq.find(seed, at + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["prefix", "n"])
+                for i, seed in enumerate(seeds):
+                    at = seq.find(seed, FIRST_POSITION)
+                    while 0 <= at <= len(seq) - SEED - shift:
+                        for side, text in (("after", seq[at + SEED : len(seq) - shift][:LONGEST]), ("before", seq[max(0, at - LONGEST_BEFORE) : at][::-1])):
+                            counts[i, side, text] = counts.get((i, side, text), 0) + 1
+                        at = seq.find(seed, at + 1)
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["seed", "side", "text", "n"])
 
     return run
 
 
-def _extension(head: DataFrame, seed: str, side: str, shift: int) -> dict[str, int]:
-    counts = head.select("seq").filter(F.col("seq").contains(seed)).mapInArrow(_prefixes(seed, side, shift), "prefix string, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
-    # Sums below a node matter from OBSERVED on; rarer prefixes can still make up such a sum, so siblings stay together.
-    family = counts.groupBy(F.expr("substring(prefix, 1, length(prefix) - 1)").alias("parent")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("prefix", "n")).alias("own"))
-    rows = family.filter(F.col("total") >= OBSERVED).collect()
-    return {x["prefix"]: x["n"] for r in rows for x in r["own"]}
+def _paths(table: pa.Table) -> pa.Table:
+    path, leaf = dominant_path(table["text"].to_pylist(), table["n"].to_numpy().astype(float))
+    return pa.table({"seed": pa.array(table["seed"][:1].to_pylist(), pa.int32()), "side": table["side"][:1].to_pylist(), "path": [path], "leaf": [leaf]})
+
+
+def extensions(head: DataFrame, seeds: list[str], shift: int) -> dict[tuple[int, str], tuple[str, bool]]:
+    """(seed, side) -> dominant path and whether it ended for want of observations, for all seeds in one pass over the head.
+
+    A side's texts come from the head, whose size is fixed, and meet counted.
+    """
+    rows = head.select("seq").mapInArrow(_contexts(seeds, shift), "seed int, side string, text string, n bigint").groupBy("seed", "side", "text").agg(F.sum("n").alias("n"))
+    found = rows.groupBy("seed", "side").applyInArrow(_paths, "seed int, side string, path string, leaf boolean").collect()
+    return {(r["seed"], r["side"]): (r["path"], r["leaf"]) for r in found}
+
+
+def detect_adapter(reads: DataFrame, trim_tail: int = 0, least_reads: int = LEAST_READS) -> str:
+    """The adapter of the reads (read_id in file order, seq), or an empty string.
+
+    Only the head of the file is looked at, whose size is a fixed value; it is written once, and two passes over it count
+    the seeds and then what stands around the most frequent of them.
+    """
+    head = written(bounded_head(reads.select("read_id", F.upper("seq").alias("seq")), F.length("seq"), HEAD_READS, HEAD_BASES), "head")
+    if head.count() < least_reads:
+        return ""
+    counts = materialize(seed_counts(head, trim_tail))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    seeds = []
+    for r in top_seeds(counts).collect():
+        if r["n"] < 10 or r["n"] * 4**SEED < total * FOLD:
+            break
+        if sum(a != b for a, b in zip(r["seed"], r["seed"][1:])) >= 3:
+            seeds.append(r["seed"])
+    found = extensions(head, seeds, max(1, trim_tail)) if seeds else {}
+    for i, seed in enumerate(seeds):
+        (after, leaf1), (before, leaf2) = (found.get((i, side), ("", True)) for side in ("after", "before"))
+        adapter = (before[::-1] + seed + after)[:LONGEST]
+        known = next((k for k in KNOWN if adapter.startswith(k)), None)
+        if known:
+            return known
+        if leaf1 and leaf2:
+            return adapter
+    return ""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.common import materialize
+from readloom.common import materialize, written
 from readloom.functions.ragged import flat
 from readloom.operators.reads import bounded_head
 
@@ -28,19 +28,71 @@ def lengths(longest: int) -> list[int]:
 
 
 def head_reads(reads: DataFrame, bases: int = HEAD_BASES) -> DataFrame:
-    return bounded_head(reads, F.length("seq"), 1 << 62, bases)
+    """The head of the file, of bounded size and written once."""
+    return written(bounded_head(reads, F.length("seq"), 1 << 62, bases), "head")
 
 
-def _windows(ks: list[int]):
+#: Base of the rolling hash; odd, so that it has an inverse modulo 2^64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Rolling:
+    """64-bit hashes of all windows of a text: a difference of running sums of letter * BASE^place, divided by BASE^start."""
+
+    def __init__(self, text: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            self.back = _powers(len(text), _BACK)
+            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text.astype(np.uint64) * _powers(len(text), BASE))])
+
+    def hashes(self, places: np.ndarray, k: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.sums[places + k] - self.sums[places]) * self.back[places]
+
+
+def hash_of(word: bytes) -> int:
+    return sum(c * pow(int(BASE), i, 1 << 64) for i, c in enumerate(word)) % (1 << 64)
+
+
+def _inner_windows(offsets: np.ndarray, k: int) -> np.ndarray:
+    """Places of all windows of k letters but the last of each row."""
+    length = np.diff(offsets)
+    n = np.maximum(0, length - k)
+    return np.arange(n.sum()) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)
+
+
+def _count_hashes(ks: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, offsets = flat(batch.column(0))
+            rolling = Rolling(text)
+            for k in ks:
+                h, n = np.unique(rolling.hashes(_inner_windows(offsets, k), k), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["k", "h", "n"])
+
+    return run
+
+
+def _count_words(hot: dict[int, np.ndarray]):
+    """Windows whose hash is hot, as words: what is counted in the end are the words themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, int] = {}
-            for seq in batch.column(0).to_pylist():
-                for k in ks:
-                    for i in range(len(seq) - k):
-                        w = seq[i : i + k]
-                        counts[w] = counts.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            text, offsets = flat(batch.column(0))
+            rolling = Rolling(text)
+            counts: dict[bytes, int] = {}
+            for k, wanted in hot.items():
+                places = _inner_windows(offsets, k)
+                for p in places[np.isin(rolling.hashes(places, k), wanted)].tolist():
+                    w = text[p : p + k].tobytes()
+                    counts[w] = counts.get(w, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     return run
 
@@ -53,13 +105,21 @@ def hot_sequences(head: DataFrame, longest: int | None = None) -> DataFrame:
     if longest is None:
         longest = head.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("m")).first()["m"]
     ks = [k for k in lengths(longest) if k > 0]
-    counts = head.select("seq").mapInArrow(_windows(ks), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    size = F.length("word")
-    least = F.when(size >= longest - 1, HOT_WHOLE)
-    for at, n in HOT:
-        least = least.when(size >= at, n)
-    hot = materialize(counts.filter(F.col("n") >= least))
-    return without_contained(hot)
+    def least(size: Column) -> Column:
+        out = F.when(size >= longest - 1, HOT_WHOLE)
+        for at, n in HOT:
+            out = out.when(size >= at, n)
+        return out
+
+    # Hashes are counted first, 20 bytes a window; only windows that are frequent by hash become words. Their number is bounded
+    # by the head's size.
+    hashes = head.select("seq").mapInArrow(_count_hashes(ks), "k int, h bigint, n bigint").groupBy("k", "h").agg(F.sum("n").alias("n"))
+    hot_hashes: dict[int, list[int]] = {}
+    for r in hashes.filter(F.col("n") >= least(F.col("k"))).select("k", "h").collect():
+        hot_hashes.setdefault(r["k"], []).append(r["h"])
+    wanted = {k: np.array(v, np.int64).view(np.uint64) for k, v in hot_hashes.items()}
+    counts = head.select("seq").mapInArrow(_count_words(wanted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return without_contained(materialize(counts.filter(F.col("n") >= least(F.length("word")))))
 
 
 def without_contained(hot: DataFrame, times: int = 10, most_lengths: int = 1000) -> DataFrame:
@@ -83,46 +143,25 @@ def without_contained(hot: DataFrame, times: int = 10, most_lengths: int = 1000)
 
 
 class HotWords:
-    """Hot words by length as 64-bit hashes for whole batches at once; hits are confirmed on the words themselves.
-
-    A window's hash is a difference of running sums of letter * B^place, divided by B^start (B is odd, so it has
-    an inverse modulo 2^64).
-    """
-
-    B = np.uint64(0x9E3779B97F4A7C15)
+    """Hot words by length as hashes for whole batches at once; hits are confirmed on the words themselves."""
 
     def __init__(self, words: list[str]) -> None:
-        self.inverse = np.uint64(pow(int(self.B), -1, 1 << 64))
         self.by: dict[int, tuple[np.ndarray, set[bytes]]] = {}
         for k in sorted({len(w) for w in words}):
             own = {w.encode() for w in words if len(w) == k}
-            self.by[k] = np.sort(np.array([self._one(w) for w in own], np.uint64)), own
-
-    def _one(self, word: bytes) -> int:
-        return sum(c * pow(int(self.B), i, 1 << 64) for i, c in enumerate(word)) % (1 << 64)
-
-    @staticmethod
-    def _powers(n: int, base: np.uint64) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[:1] = 1
-        return np.cumprod(out, dtype=np.uint64)
+            self.by[k] = np.sort(np.array([hash_of(w) for w in own], np.uint64)), own
 
     def hits(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(k, places where a hot word of k letters starts inside a row and a window may be probed)."""
-        n = len(text)
-        with np.errstate(over="ignore"):
-            powers, back = self._powers(n, self.B), self._powers(n, self.inverse)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(text.astype(np.uint64) * powers)])
-            row_end = np.repeat(offsets[1:], np.diff(offsets))
-            row_start = np.repeat(offsets[:-1], np.diff(offsets))
-            at = np.arange(n)
-            for k, (hashes, words) in self.by.items():
-                # the first window is always probed, the last one only if it is the first
-                valid = (at + k <= row_end) & ((at == row_start) | (at + k < row_end))
-                places = np.flatnonzero(valid)
-                if not len(places):
-                    continue
-                h = (sums[places + k] - sums[places]) * back[places]
+        rolling = Rolling(text)
+        row_end = np.repeat(offsets[1:], np.diff(offsets))
+        row_start = np.repeat(offsets[:-1], np.diff(offsets))
+        at = np.arange(len(text))
+        for k, (hashes, words) in self.by.items():
+            # the first window is always probed, the last one only if it is the first
+            places = np.flatnonzero((at + k <= row_end) & ((at == row_start) | (at + k < row_end)))
+            if len(places):
+                h = rolling.hashes(places, k)
                 i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                 yield k, np.array([p for p in places[hashes[i] == h] if text[p : p + k].tobytes() in words], np.int64)
 

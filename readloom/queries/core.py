@@ -12,7 +12,7 @@ from readloom.common import table
 from readloom.operators import badrows, correct, detect, duplicate, hotkeys, longread, orp, pairs, reads, stats, trim, umi
 from readloom.options import Options
 from readloom.plans import pipeline
-from readloom.queries import correct_sql, files, sql
+from readloom.queries import correct_sql, files, run_sql, sql
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -31,7 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql() | correct_sql.oracle_sql() | files.oracle_sql()
+    return sql.oracle_sql() | correct_sql.oracle_sql() | run_sql.oracle_sql() | files.oracle_sql()
 
 
 def se(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -345,7 +345,9 @@ def hot_sequences(spark, d):
 
 @query
 def overrepresented(spark, d):
-    return orp.overrepresented(se(spark, d)).select("word", "n")
+    """With how many hits start at each position, as text."""
+    starts = F.concat_ws(",", F.transform(F.map_entries("starts"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))))
+    return orp.overrepresented(se(spark, d)).select("word", "n", starts.alias("starts"))
 
 
 @query
