@@ -110,6 +110,17 @@ def drop_written(spark: SparkSession, first: int = 0) -> int:
     return n
 
 
+def delivered_once(df: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Each row once. Rows are delivered again under the same id, so only ids shuffle, and the rows of ids that occur twice.
+
+    A null id is a value like any other. Ids that occur twice are broadcast if they are few; else both sides shuffle.
+    """
+    twice = materialize(df.groupBy(F.col(id_col).alias("__twice")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__twice"))
+    small = broadcast_if_small(twice, twice.count(), broadcast_rows)
+    same = F.col(id_col).eqNullSafe(F.col("__twice"))
+    return df.join(small, same, "left_anti").unionByName(df.join(small, same, "left_semi").distinct())
+
+
 @contextmanager
 def stages(spark: SparkSession) -> Iterator[None]:
     """Tables that `written` leaves inside the block are deleted at its end; take results out (write or collect them) before."""

@@ -556,6 +556,57 @@ def _features(o: Options):
     return run
 
 
+#: Share of a column that each of two bases holds where reads of two regions meet, and the most such columns of a pile.
+_HALF, _MOST_SPLIT_COLUMNS = (0.4, 0.6), 16
+
+
+def split_patterns(columns: Columns, rows: list[np.ndarray], shifts: np.ndarray) -> tuple[list[tuple[int, str, str]], dict[tuple, list[int]]]:
+    """(split columns as (column, base, base), pattern -> candidates). A candidate's pattern tells for each split column which of
+    its two bases it has, None if neither. Patterns that another one completes are joined to it, so only complete
+    ones remain, each with all candidates that don't contradict it."""
+    share = columns.counts / np.maximum(1, columns.coverage)
+    near_half = (columns.counts >= 2) & (share >= _HALF[0] - _NEAR) & (share <= _HALF[1] + _NEAR)
+    at = np.flatnonzero(near_half.sum(axis=0) == 2)
+    if not 0 < len(at) <= _MOST_SPLIT_COLUMNS:
+        return [], {}
+    bases = [tuple(_LETTERS[np.flatnonzero(near_half[:, c])].tolist()) for c in at]
+    own: dict[tuple, list[int]] = {}
+    for i, (row, shift) in enumerate(zip(rows, shifts)):
+        place = at - columns.begin - shift
+        pattern = tuple(b.index(row[p]) if 0 <= p < len(row) and row[p] in b else None for p, b in zip(place, bases))
+        own.setdefault(pattern, []).append(i)
+    completes = lambda q, p: q != p and all(x is None or x == y for x, y in zip(p, q))
+    final = [p for p in own if not any(completes(q, p) for q in own)]
+    return [(int(c) - columns.begin, chr(b[0]), chr(b[1])) for c, b in zip(at, bases)], {q: sorted(i for p, members in own.items() if p == q or completes(q, p) for i in members) for q in final}
+
+
+def _splits(o: Options):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = Piled(batch, o)
+            out: list[tuple] = []
+            for i in range(len(p.ids)):
+                own = p.kept(i)
+                rows, quals, factors = p.pile(i, own)
+                weights = [f * (quality_weight(quals[j], o.phred) if quals else np.ones(len(r))) for j, (r, f) in enumerate(zip(rows, [1.0, *factors]))]
+                columns = Columns(rows, np.array([0, *p.shift[own]]), weights)
+                at, groups = split_patterns(columns, rows[1:], p.shift[own])
+                for pattern, members in groups.items():
+                    shown = [f"{c}{two[x]}" for (c, *two), x in zip(at, pattern) if x is not None]
+                    out.append((p.ids[i], ",".join(shown), [p.candidates[own[m]] for m in members]))
+            kinds = [pa.int64(), pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], k) for j, k in enumerate(kinds)], ["read_id", "pattern", "candidates"])
+
+    return run
+
+
+def region_splits(reads: DataFrame, options: Options = Options()) -> DataFrame:
+    """read_id, pattern, candidates: groups of an anchor's candidates by what they show in columns of which two bases hold about
+    half each. The pattern lists column (0 is the anchor's first base) and base. Piles without such columns, or with more than 16,
+    have no groups."""
+    return piles(reads, options).mapInArrow(_splits(options), "read_id bigint, pattern string, candidates array<bigint>")
+
+
 def piles(reads: DataFrame, o: Options) -> DataFrame:
     """read_id, seq, qual and the kept candidates, by id, of every anchor that has some; at most hashmaps * bucket_limit of them."""
     ready = ready_reads(reads, o)

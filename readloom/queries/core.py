@@ -467,6 +467,13 @@ def corrections_sparse(spark, d):
     return correct.corrections(se(spark, d, "qual"), Options(correct_candidates=True, coverage=10))
 
 
+@query
+def region_splits(spark, d):
+    """With the candidates of each group as text."""
+    found = correct.region_splits(se(spark, d, "qual"), Options(coverage=10))
+    return found.withColumn("candidates", F.concat_ws(",", F.col("candidates").cast("array<string>")))
+
+
 @query
 def corrected_reads(spark, d):
     return correct.corrected_reads(se(spark, d, "name", "qual"), Options(correct_candidates=True, quality_labels=True))

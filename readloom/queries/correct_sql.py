@@ -145,6 +145,19 @@ def _features(coverage: int) -> str:
 SELECT read_id, kind, CAST(CASE WHEN reverse THEN -p - 1 ELSE p END AS INTEGER) AS pos, top AS consensus, {joined} || CASE WHEN kind = 'candidate' THEN ',' || CAST({both} AS VARCHAR) ELSE '' END AS features FROM differ"""
 
 
+def _splits(coverage: int) -> str:
+    """Groups of candidates by which of two bases they have in columns that these halve."""
+    return f"""{piled(coverage)},
+ halves AS (SELECT x.read_id, x.col, list(x.base ORDER BY x.base) AS two FROM cells0 AS x JOIN cols0 AS c USING (read_id, col) WHERE x.n >= 2 AND x.n / c.cover BETWEEN {0.4 - NEAR!r} AND {0.6 + NEAR!r} GROUP BY x.read_id, x.col HAVING count(*) = 2),
+ few AS (SELECT read_id FROM halves GROUP BY read_id HAVING count(*) <= 16),
+ shown_at AS (SELECT p.read_id, p.candidate, h.col, CASE WHEN h.col >= p.shift AND h.col < p.shift + length(p.text) THEN coalesce(list_position(two, substr(p.text, CAST(h.col - p.shift + 1 AS BIGINT), 1)), 0) ELSE 0 END AS x, two FROM pile0 AS p JOIN few USING (read_id) JOIN halves AS h USING (read_id)),
+ patterns AS MATERIALIZED (SELECT read_id, candidate, list(x ORDER BY col) AS p, list(CASE WHEN x > 0 THEN col || two[x] END ORDER BY col) AS shown FROM shown_at GROUP BY read_id, candidate),
+ kinds AS (SELECT DISTINCT read_id, p, shown FROM patterns),
+ final AS (SELECT q.* FROM kinds AS q WHERE NOT EXISTS (SELECT 1 FROM kinds AS r WHERE r.read_id = q.read_id AND r.p <> q.p AND len(list_filter(list_zip(q.p, r.p), lambda z: z[1] > 0 AND z[1] <> z[2])) = 0))
+SELECT f.read_id, coalesce(array_to_string(list_filter(f.shown, lambda s: s IS NOT NULL), ','), '') AS pattern, string_agg(CAST(m.candidate AS VARCHAR), ',' ORDER BY m.candidate) AS candidates
+ FROM final AS f JOIN patterns AS m ON m.read_id = f.read_id AND len(list_filter(list_zip(m.p, f.p), lambda z: z[1] > 0 AND z[1] <> z[2])) = 0 GROUP BY f.read_id, f.p, f.shown"""
+
+
 def oracle_sql() -> dict[str, str]:
     shown = "read_id, candidate, reverse, shift, overlap, mismatches, kept"
     found = "SELECT read_id, kind, hq, shift, seq FROM corrections"
@@ -157,6 +170,7 @@ def oracle_sql() -> dict[str, str]:
         "consensus": f"""WITH {piled()}, line AS (SELECT read_id, CAST(min(col) AS INTEGER) AS begin, string_agg(top, '' ORDER BY col) AS consensus, string_agg(CAST({_micro('support')} AS VARCHAR), ',' ORDER BY col) AS support, string_agg(CAST(cover AS VARCHAR), ',' ORDER BY col) AS coverage FROM cols5 GROUP BY read_id)
 SELECT l.*, CAST((SELECT count(*) FROM pile5 AS p WHERE p.read_id = l.read_id) AS INTEGER) AS reads, trusted, hq FROM line AS l JOIN judged USING (read_id)""",
         "correction_features": f"WITH {_features(10)}",
+        "region_splits": f"WITH {_splits(10)}",
         "corrections": f"WITH {corrected()} {found}",
         "corrections_sparse": f"WITH {corrected(10)} {found}",
         "corrected_reads": f"""WITH {corrected()},

@@ -193,3 +193,13 @@ def test_stages_are_deleted(spark):
         path = common._WRITTEN[-1]
         assert Path(path).exists()
     assert not Path(path).exists() and path not in common._WRITTEN
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_delivered_once(spark, most):
+    from readloom import common
+
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, None), (2, None), (3, "c"), (None, "x"), (None, "x"), (None, "y")]
+    got = common.delivered_once(spark.createDataFrame(rows, "id bigint, t string"), "id", most).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, set(rows)))
+    assert common.delivered_once(spark.createDataFrame([], "id bigint, t string"), "id").count() == 0
