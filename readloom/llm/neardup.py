@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.common import broadcast_if_small, clean_seq, materialize, written
+from readloom.common import broadcast_if_small, clean_seq, delivered_once, materialize, written
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -214,10 +214,9 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, id_col: str, text: str, k: int = 12, threshold: float = 0.6, bands: int = 68, rows: int = 4) -> None:
         exact = Fraction(str(threshold))
-        once = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).dropna()
-        # A row delivered again has the same hashes: only the first text of an id and hash is kept.
-        once = once.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")}).dropDuplicates(["id", "h1", "h2"])
-        # Written once: the texts shuffle here only, and most of what follows reads just the numbers.
+        once = delivered_once(df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).dropna(), "id")
+        once = once.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+        # Written once: most of what follows reads just the numbers.
         once = written(once, "texts")
         classes = once.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
         # Only classes with copies are joined back, each with 16 salts: a hot class's members meet it in 16 tasks.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.common import clean_seq, materialize
+from readloom.common import clean_seq, delivered_once, materialize
 
 _INTERVALS = "n int, word bigint, occurrences bigint, records bigint"
 #: Symbols of three bits that one machine word holds; the first sort orders suffixes by as many.
@@ -189,7 +189,7 @@ def marked_words(reads: DataFrame, n: int | Sequence[int] = 6, rare: str = "0.00
     `mark` is `rare` below the first share of all reads, `common` above the second, else null. Needs
     `read_id` and `seq`; a null, empty or short sequence has no words. An empty table gives an empty result.
     """
-    once = reads.select("read_id", clean_seq("seq").alias("seq")).distinct()
+    once = delivered_once(reads.select("read_id", clean_seq("seq").alias("seq")), "read_id")
     # Written once, since the row without a word gives the number of reads.
     counts = materialize(word_counts(once, "seq", [n] if isinstance(n, int) else n))
     total = counts.filter(F.col("word").isNull()).agg(F.coalesce(F.max("records"), F.lit(0)).alias("n")).first()["n"]
