@@ -145,9 +145,9 @@ def candidate_links(sigs: DataFrame, coverage: int = 30, broadcast_rows: int = 1
     """
     large = materialize(bucket_sizes(sigs).filter(F.col("n") > bucket_limit(coverage)).select("map", "hash"))
     kept = sigs.join(broadcast_if_small(large, large.count(), broadcast_rows), ["map", "hash"], "left_anti")
-    buckets = kept.groupBy("map", "hash").agg(F.array_sort(F.collect_list("read_id")).alias("ids")).filter(F.size("ids") > 1)
-    firsts = buckets.select("ids", F.posexplode("ids").alias("i", "a"))
-    return firsts.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b")).distinct()
+    buckets = kept.groupBy("map", "hash").agg(F.collect_list("read_id").alias("ids")).filter(F.size("ids") > 1)
+    firsts = buckets.select("ids", F.explode("ids").alias("a"))
+    return firsts.select("a", F.explode("ids").alias("b")).filter("a < b").distinct()
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -170,15 +170,17 @@ def paired_flags(pairs: DataFrame) -> DataFrame:
 # --- alignment -----------------------------------------------------------------------------------------
 
 
-def _planes(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Three bit planes of rows of bases, 64 columns a word, words before rows: both bits of a base and whether there is one."""
-    code = _INDEX[rows]
-    inside = np.arange(rows.shape[1]) < length[:, None]
-    words = -(-rows.shape[1] // 64)
-    bits = np.zeros((3, len(rows), words * 64), bool)
-    for plane, on in zip(bits, ((code & 2) > 0, (code & 1) > 0, inside)):
-        plane[:, : rows.shape[1]] = on & inside
-    packed = np.packbits(bits, axis=2, bitorder="little").view(np.uint64)
+#: The two bits of a base and a third one that tells that there is one.
+_BITS = np.zeros(256, np.uint8)
+_BITS[_LETTERS] = np.arange(4) | 4
+
+
+def _planes(rows: np.ndarray, width: int) -> np.ndarray:
+    """Three bit planes of rows of bases (0 past their length), 64 columns a word, words before rows."""
+    words = -(-width // 64)
+    code = np.zeros((len(rows), words * 64), np.uint8)
+    code[:, : rows.shape[1]] = _BITS[rows]
+    packed = np.stack([np.packbits(code & bit, axis=1, bitorder="little").view(np.uint64) for bit in (2, 1, 4)])
     return np.ascontiguousarray(packed.transpose(0, 2, 1))
 
 
@@ -195,14 +197,17 @@ def align(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, ratio: f
 
     Columns are compared by 64 as bits, and a shift moves the bits of one side by one place.
     """
+    width = max(a.shape[1], c.shape[1])
+    return _align_planes(_planes(a, width), la, _planes(c, width), lc, width, ratio, least, least_ratio)
+
+
+def _align_planes(plane_a: np.ndarray, la: np.ndarray, plane_c: np.ndarray, lc: np.ndarray, width: int, ratio: float, least: int, least_ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(la)
     total = la + lc
     need = np.maximum(least, (la * least_ratio).astype(np.int64))
     best, shift = total.copy(), -lc
     over, wrong = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    width = max(a.shape[1], c.shape[1])
     allowed_of = (np.arange(width + 1) * ratio).astype(np.int64)
-    plane_a, plane_c = _planes(np.pad(a, ((0, 0), (0, width - a.shape[1]))), la), _planes(np.pad(c, ((0, 0), (0, width - c.shape[1]))), lc)
 
     def compare(s: int, left: np.ndarray, right: np.ndarray, may: np.ndarray, overlap: np.ndarray) -> None:
         allowed = allowed_of[np.maximum(overlap, 0)]
@@ -220,7 +225,7 @@ def align(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, ratio: f
     for s in range(1, int((la - need).max(initial=0)) + 1):
         _shift(moved)
         compare(s, moved, plane_c, s <= la - need, np.minimum(la - s, lc))
-    moved = plane_c
+    moved = plane_c.copy()
     for s in range(1, int((lc - need).max(initial=0)) + 1):
         _shift(moved)
         compare(-s, plane_a, moved, s <= lc - need, np.minimum(la, lc - s))
@@ -238,14 +243,11 @@ def orient(forward: tuple, reverse: tuple, la: np.ndarray, most: float, least: i
     return (ok1 | ok2) & (ratio < most), take2
 
 
-def best_alignments(a: np.ndarray, la: np.ndarray, c: np.ndarray, lc: np.ndarray, o: Options) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each candidate c along its anchor a in both directions: (usable, reverse complement, shift, overlap, mismatches)."""
-    rc = K.reverse_complement(c, lc)
-    rc[np.arange(rc.shape[1]) >= lc[:, None]] = 0
-    limits = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
-    f, r = align(a, la, c, lc, *limits), align(a, la, rc, lc, *limits)
-    ok, rev = orient(f, r, la, 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
-    return ok, rev, *(np.where(rev, r[i], f[i]) for i in (1, 2, 3))
+def reverse_rows(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Reverse complements of rows of bases, 0 past their length."""
+    out = K.reverse_complement(rows, length)
+    out[np.arange(out.shape[1]) >= length[:, None]] = 0
+    return out
 
 
 _ALIGNED = "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int"
@@ -263,8 +265,15 @@ def _align_links(o: Options, block: int = 8192):
                 for at in range(0, len(group), block):
                     rows = group[at : at + block]
                     sides = [matrix(*t, rows, np.zeros(len(n), np.int64), n, max(1, int(n[rows].max()))) for t, n in zip(texts, lengths)]
+                    n = [x[rows] for x in lengths]
+                    width = max(m.shape[1] for m in sides)
+                    planes = [_planes(m, width) for m in sides]
+                    turned = [_planes(reverse_rows(m, k), width) for m, k in zip(sides, n)]
+                    limits = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
                     for x, y in ((0, 1), (1, 0)):
-                        ok, *found = best_alignments(sides[x], lengths[x][rows], sides[y], lengths[y][rows], o)
+                        f, r = (_align_planes(planes[x], n[x], other[y], n[y], width, *limits) for other in (planes, turned))
+                        ok, rev = orient(f, r, n[x], 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
+                        found = [rev, *(np.where(rev, r[i], f[i]) for i in (1, 2, 3))]
                         kept = rows[ok]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(ids[x][kept], pa.int64()), pa.array(ids[y][kept], pa.int64()), pa.array(found[0][ok]), *(pa.array(v[ok].astype(np.int32)) for v in found[1:])],
