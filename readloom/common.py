@@ -88,26 +88,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Delete shuffle files at the end of an execution, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a compressed table to the shared folder and read it back; smaller than a checkpoint and columnar.
 
-    It stays until `drop_written` is called, since later plans read it.
+    It stays until `drop_written` is called, since later plans read it. What was shuffled for it goes at once.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.mode("overwrite").parquet(path)  # a new plan, which takes the setting
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, first: int = 0) -> int:
-    """Delete the tables that `written` left (from the given one on); results made from them can't be computed again. How
-    many there were."""
+def drop_written(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Delete the tables that `written` left (from the given one on, up to but not the last); results made from them can't be
+    computed again. How many there were."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    n = len(_WRITTEN) - first
-    while len(_WRITTEN) > first:
-        path = hadoop.Path(_WRITTEN.pop())
+    gone = _WRITTEN[first:last]
+    del _WRITTEN[first:last]
+    for name in gone:
+        path = hadoop.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
+
+
+def count_written() -> int:
+    return len(_WRITTEN)
 
 
 def delivered_once(df: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:

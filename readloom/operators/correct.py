@@ -5,22 +5,25 @@ are aligned in both directions without gaps, those that agree too little are dro
 another genomic region are taken out, and the consensus corrects the anchor. Candidates, alignment and columns are
 bounded per anchor by the limit on buckets, which belongs to the method: larger buckets are repeats.
 
-Pairs are aligned as pairs: each unordered pair of sequences moves once and is aligned from both sides, as bit planes. What
-the limits on mismatches leave is a small part, and only that is piled up on its anchors.
+Anchors with a common smallest neighbour are worked on together (`neighbours`): a sequence moves once to each part that needs
+it, each unordered pair of a part is aligned once for both sides as bit planes, and what the limits on mismatches leave is
+piled up where it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readloom.common import broadcast_if_small, materialize, written
 from readloom.functions import kernels as K
 from readloom.functions.ragged import flat, matrix, to_strings
+from readloom.operators import neighbours as N
 from readloom.operators.forest import Forest
 from readloom.options import Options
 
@@ -86,22 +89,68 @@ def word_length(longest: int) -> int:
 
 def _canonical(text: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(smaller of each word and its reverse complement, as numbers; words per row)."""
-    code = _INDEX[text].astype(np.uint64)
     n = len(text)
-    forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(k):
-        part = np.zeros(n, np.uint64)
-        part[: max(0, n - j)] = code[j:] & np.uint64(3)
-        forward = forward << np.uint64(2) | part
-        reverse |= (np.uint64(3) - part) << np.uint64(2 * j)
+    code = np.append(_INDEX[text].astype(np.uint64) & np.uint64(3), np.zeros(k, np.uint64))
+    # Words of 1, 2, 4, ... bases, and what k needs of them.
+    forward, reverse, size = np.zeros_like(code), np.zeros_like(code), 0
+    f, r, j = code, np.uint64(3) - code, 1
+    ahead = lambda x, by: np.append(x[by:], np.zeros(by, np.uint64))
+    while j <= k:
+        if k & j:
+            forward, reverse = forward << np.uint64(2 * j) | ahead(f, size), reverse | ahead(r, size) << np.uint64(2 * size)
+            size += j
+        if 2 * j <= k:
+            f, r = f << np.uint64(2 * j) | ahead(f, j), r | ahead(r, j) << np.uint64(2 * j)
+        j *= 2
+    forward, reverse = forward[:n], reverse[:n]
     valid = np.arange(n) + k <= np.repeat(offsets[1:], np.diff(offsets))
     return np.minimum(forward, reverse)[valid], np.maximum(0, np.diff(offsets) - k + 1)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
-    return x ^ x >> np.uint64(31)
+_mixed = N.mixed
+_MAP_STEP = 0x9E3779B97F4A7C15
+#: Letters whose words are mixed at once, so that they stay in the cache.
+_CACHED = 1 << 15
+
+
+def _least_hashes(k: int):
+    """Gives for a batch of seq, read_id the ids of reads with words, and their least hash in each of some maps."""
+    mask = np.uint64((1 << 2 * k) - 1 if k < 32 else (1 << 64) - 1)
+
+    def run(batch: pa.RecordBatch, maps: range) -> tuple[np.ndarray, np.ndarray]:
+        different = batch.column(0).dictionary_encode()  # frequent sequences are hashed once
+        text, offsets = flat(different.dictionary)
+        counts = np.maximum(0, np.diff(offsets) - k + 1)
+        has = np.flatnonzero(counts)
+        out = np.empty((len(maps), len(has)), np.uint64)
+        done = 0
+        while done < len(has):
+            # Some reads whose words stay in the cache.
+            to = max(done + 1, int(np.searchsorted(offsets[has], offsets[has[done]] + _CACHED)))
+            first, last = has[done], has[to - 1] + 1
+            own, words_of = _canonical(text[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], k)
+            words_of = words_of[words_of > 0]
+            starts = np.cumsum(words_of) - words_of
+            x, y = np.empty_like(own), np.empty_like(own)
+            for n, m in enumerate(maps):
+                np.add(own, np.uint64(m * _MAP_STEP & (1 << 64) - 1), out=x)
+                for shift, factor in N._FACTORS:
+                    np.right_shift(x, np.uint64(shift), out=y)
+                    np.bitwise_xor(x, y, out=x)
+                    np.multiply(x, np.uint64(factor), out=x)
+                np.right_shift(x, np.uint64(31), out=y)
+                np.bitwise_xor(x, y, out=x)
+                if k < 32:
+                    np.bitwise_and(x, mask, out=x)
+                np.minimum.reduceat(x, starts, out=out[n, done:to])
+            done = to
+        place = np.full(len(counts) + 1, -1)
+        place[has] = np.arange(len(has))
+        which = place[different.indices.fill_null(len(counts)).to_numpy(zero_copy_only=False)]
+        own = np.flatnonzero(which >= 0)
+        return batch.column(1).to_numpy(zero_copy_only=False)[own].astype(np.int64), out[:, which[own]]
+
+    return run
 
 
 def _signatures(k: int, maps: int):
@@ -250,37 +299,177 @@ def reverse_rows(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-_ALIGNED = "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int"
+_ALIGNED = "read_id bigint, candidate bigint, reverse boolean, shift int, overlap int, mismatches int, kept boolean"
 
 
-def _align_links(o: Options, block: int = 8192):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
-            texts = [flat(c) for c in batch.columns[2:4]]
-            lengths = [np.diff(offsets) for _, offsets in texts]
-            size = -(-np.maximum(*lengths) // 64)
-            for g in np.unique(size):
-                group = np.flatnonzero(size == g)
-                for at in range(0, len(group), block):
-                    rows = group[at : at + block]
-                    sides = [matrix(*t, rows, np.zeros(len(n), np.int64), n, max(1, int(n[rows].max()))) for t, n in zip(texts, lengths)]
-                    n = [x[rows] for x in lengths]
-                    width = max(m.shape[1] for m in sides)
-                    planes = [_planes(m, width) for m in sides]
-                    turned = [_planes(reverse_rows(m, k), width) for m, k in zip(sides, n)]
-                    limits = (o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio)
-                    for x, y in ((0, 1), (1, 0)):
-                        f, r = (_align_planes(planes[x], n[x], other[y], n[y], width, *limits) for other in (planes, turned))
-                        ok, rev = orient(f, r, n[x], 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
-                        found = [rev, *(np.where(rev, r[i], f[i]) for i in (1, 2, 3))]
-                        kept = rows[ok]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[x][kept], pa.int64()), pa.array(ids[y][kept], pa.int64()), pa.array(found[0][ok]), *(pa.array(v[ok].astype(np.int32)) for v in found[1:])],
-                            ["read_id", "candidate", "reverse", "shift", "overlap", "mismatches"],
-                        )
+def _word(plane: np.ndarray, s: int) -> np.ndarray:
+    """The first word of bits (words before rows) after s columns are dropped."""
+    w, r = divmod(s, 64)
+    if w >= len(plane):
+        return np.zeros(plane.shape[1], np.uint64)
+    if not r:
+        return plane[w]
+    out = plane[w] >> np.uint64(r)
+    if w + 1 < len(plane):
+        out |= plane[w + 1] << np.uint64(64 - r)
+    return out
 
-    return run
+
+def _words(planes: np.ndarray, rows: np.ndarray, s: np.ndarray, at: int) -> np.ndarray:
+    """A word of some rows of all planes after as many columns are dropped as `s` has for the row. The last word must be empty."""
+    w, r = np.divmod(s, 64)
+    w, last, r = w + at, planes.shape[1] - 1, r.astype(np.uint64)
+    # A shift by 64 in two steps, since one of that many bits isn't defined.
+    return planes[:, np.minimum(w, last), rows] >> r | planes[:, np.minimum(w + 1, last), rows] << np.uint64(1) << (np.uint64(63) - r)
+
+
+def _align_both(a: np.ndarray, la: np.ndarray, c: np.ndarray, turned: np.ndarray, lc: np.ndarray, width: int, o: Options) -> Iterator[tuple]:
+    """Of pairs as bit planes (`turned`: the reverse complements of c) what `align` and `orient` find with a as anchor, then with c:
+    (usable, reverse, shift, overlap, mismatches).
+
+    Shift s of c along a is shift -s of a along c, and if one is turned, s + lc - la; so both sides need the same comparisons
+    and differ in the order of equal scores and in the least overlap. One of the two bits of the first 64 columns of an overlap
+    rejects nearly all shifts.
+    """
+    n, total = len(la), la + lc
+    sides = ((la, lc), (lc, la))
+    needs = [np.maximum(o.min_overlap, (x * o.min_overlap_ratio).astype(np.int64)) for x, _ in sides]
+    least = np.minimum(*needs)
+    allowed_of = (np.arange(width + 1) * o.max_mismatch_ratio).astype(np.int64)
+    order = 4 * width
+    none = np.iinfo(np.int64).max
+    best = np.full((2, 2, n), none)
+    most_a, most_c = int(la.max()), int(lc.max())
+    same = most_a == la.min() and most_c == lc.min()
+    hits: list[tuple[np.ndarray, int, int]] = []
+    differ, count, hit = np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n, bool)
+
+    def compare(s: int, left: tuple, right: tuple, turn: int) -> None:
+        widest = min(most_a - s, most_c) if s >= 0 else min(most_a, most_c + s)
+        np.bitwise_xor(left[0], right[0], out=differ)
+        if not same:
+            np.bitwise_and(differ, left[1], out=differ)
+            np.bitwise_and(differ, right[1], out=differ)
+        elif widest < 64:
+            np.bitwise_and(differ, np.uint64((1 << widest) - 1), out=differ)
+        np.bitwise_count(differ, out=count)
+        np.less(count, int(min(255, allowed_of[widest])), out=hit)
+        if hit.any():
+            rows = np.flatnonzero(hit).astype(np.int32)
+            hits.append((rows, s, turn))
+
+    used = (0,) if same else (0, 2)
+    for s in range(max(0, int((la - least).max())) + 1):
+        left = tuple(_word(a[i], s) for i in used)
+        for turn, other in enumerate((c, turned)):
+            compare(s, left, tuple(other[i, 0] for i in used), turn)
+    for s in range(1, max(0, int((lc - least).max())) + 1):
+        for turn, other in enumerate((c, turned)):
+            compare(-s, tuple(a[i, 0] for i in used), tuple(_word(other[i], s) for i in used), turn)
+
+    # What was not rejected, with all columns.
+    for of in (0, 1):
+        some = [(rows, s) for rows, s, turn in hits if turn == of]
+        if not some:
+            continue
+        rows, s = np.concatenate([r for r, _ in some]), np.repeat([s for _, s in some], [len(r) for r, _ in some])
+        x, y = la[rows], lc[rows]
+        over = np.where(s >= 0, np.minimum(x - s, y), np.minimum(x, y + s))
+        near = over >= least[rows]
+        rows, s, over = rows[near], s[near], over[near]
+        one, two = (np.concatenate([v, np.zeros((3, 1, n), np.uint64)], axis=1) for v in (a, turned if of else c))
+        miss = np.zeros(len(rows), np.int64)
+        for w in range(-(-int(over.max(initial=0)) // 64)):
+            p, q = _words(one, rows, np.maximum(s, 0), w), _words(two, rows, np.maximum(-s, 0), w)
+            miss += np.bitwise_count(((p[0] ^ q[0]) | (p[1] ^ q[1])) & p[2] & q[2])
+        good = miss < allowed_of[over]
+        rows, s, over, miss = rows[good], s[good], over[good], miss[good]
+        score = (miss + total[rows] - 2 * over) * order
+        for side, other in enumerate((s, s + lc[rows] - la[rows] if of else -s)):
+            enough = over >= needs[side][rows]
+            np.minimum.at(best[side, of], rows[enough], (score + np.where(other >= 0, other, 2 * width - other))[enough])
+
+    for side, (x, y) in enumerate(sides):
+        ways = []
+        for turn in (0, 1):
+            key = best[side, turn]
+            valid = key < none
+            score, rank = np.divmod(np.where(valid, key, 0), order)
+            s = np.where(rank < 2 * width, rank, 2 * width - rank)
+            over = np.where(s >= 0, np.minimum(x - s, y), np.minimum(x, y + s))
+            ways.append((valid, s, over, score - total + 2 * over))
+        ok, rev = orient(*ways, x, 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
+        yield ok, rev, *(np.where(rev, ways[1][i], ways[0][i]) for i in (1, 2, 3))
+
+
+def _align_pairs(reads: N.Reads, left: np.ndarray, right: np.ndarray, o: Options, block: int = 4096) -> list[np.ndarray]:
+    """`_align_both` of pairs of reads by their places: five arrays of a row for each side."""
+    out = [np.zeros((2, len(left)), t) for t in (bool, bool, np.int16, np.int16, np.int16)] if not len(reads.length) or reads.length.max() < 1 << 15 else [np.zeros((2, len(left)), t) for t in (bool, bool, np.int64, np.int64, np.int64)]
+    size = -(-np.maximum(reads.length[left], reads.length[right]) // 64)
+    for words in np.unique(size):
+        own = np.flatnonzero(size == words)
+        used, place = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
+        length = reads.length[used]
+        width = 64 * int(words)
+        rows = matrix(_LETTERS[reads.text], reads.offsets, used, np.zeros(len(reads.length), np.int64), reads.length, width)
+        planes, turned = _planes(rows, width), _planes(reverse_rows(rows, length), width)
+        i, j = place[: len(own)], place[len(own) :]
+        order = np.lexsort((length[j], length[i]))
+        for at in range(0, len(own), block):
+            rows = order[at : at + block]
+            x, y = i[rows], j[rows]
+            for side, found in enumerate(_align_both(planes[:, :, x], length[x], planes[:, :, y], turned[:, :, y], length[y], width, o)):
+                for all_of, values in zip(out, found):
+                    all_of[side, own[rows]] = values
+    return out
+
+
+class Part:
+    """A part of the anchors with their aligned candidates, ordered by anchor and candidate."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], o: Options) -> None:
+        got = N.received(batches)
+        lists = got.get(N.LIST, [])
+        self.reads = N.Reads(got.get(N.READS, []), o.quality_scores)
+        own, counts, other = (N.joined(lists, i) for i in range(3))
+        paired = N.joined(lists, 3).astype(bool) if o.pair_mode == "PE" else None
+        anchor, candidate = np.repeat(self.reads.at(own), counts), self.reads.at(other)
+        order = np.argsort(anchor << 32 | candidate)
+        anchor, candidate = anchor[order], candidate[order]
+        key, pair = np.unique(np.minimum(anchor, candidate) << 32 | np.maximum(anchor, candidate), return_inverse=True)
+        side = (anchor > candidate).astype(np.int64)
+        ok, *found = (x[side, pair] for x in _align_pairs(self.reads, key >> 32, key & 0xFFFFFFFF, o))
+        if o.fixed_reads:
+            ok &= self.reads.ids[anchor] < o.fixed_reads
+        self.anchor, self.candidate = anchor[ok], candidate[ok]
+        self.flipped, self.shift, self.over, self.wrong = (x[ok] for x in found)
+        ratio = self.wrong / np.maximum(1, self.over)
+        if o.pair_mode == "PE":
+            self.kept = paired[order][ok] | (ratio < o.error_factor)
+            return
+        limit = np.full(len(self.reads.ids), -1.0)
+        for times in (4, 3, 2):
+            under = np.bincount(self.anchor[ratio < times * o.error_factor], minlength=len(limit))
+            limit[under >= o.coverage * o.coverage_factor] = times * o.error_factor
+        self.kept = ratio < limit[self.anchor]
+
+    def aligned(self) -> Iterator[pa.RecordBatch]:
+        names = ["read_id", "candidate", "reverse", "shift", "overlap", "mismatches", "kept"]
+        for at in range(0, len(self.anchor), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            ids = [pa.array(self.reads.ids[x[some]]) for x in (self.anchor, self.candidate)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(self.flipped[some]), *(pa.array(x[some].astype(np.int32)) for x in (self.shift, self.over, self.wrong)), pa.array(self.kept[some])], names)
+
+    def piles(self, o: Options, rows: int = 2_000) -> Iterator[Piled]:
+        """Anchors with what is kept of their candidates, as many at once as make about so many rows."""
+        at = np.flatnonzero(self.kept)
+        first = np.flatnonzero(np.diff(self.anchor[at], prepend=-1))
+        ends = np.append(first, len(at))
+        i = 0
+        while i < len(first):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + rows, "right")) - 1)
+            yield Piled(self, at[ends[i] : ends[j]], ends[i : j + 1] - ends[i], o)
+            i = j
 
 
 def ready_reads(reads: DataFrame, o: Options) -> DataFrame:
@@ -308,27 +497,31 @@ def stored_signatures(ready: DataFrame, o: Options) -> DataFrame:
     return written(sigs, "signatures")
 
 
+#: Rounds in which maps are gone through: their hashes are the largest that lies on disk.
+_ROUNDS = 3
+
+
+def grouped(ready: DataFrame, o: Options) -> DataFrame:
+    """Arrays of anchors with their neighbours and all sequences they need, by part."""
+    longest, reads = ready.agg(F.coalesce(F.max(F.length("seq")), F.lit(0)), F.count(F.lit(1))).first()
+    parts = N.number_of_parts(ready, reads, o.hashmaps)
+    limit = bucket_limit(o.coverage)
+    if o.load_signatures or o.save_signatures:
+        sigs = stored_signatures(ready, o)
+        source = lambda maps: N.stored(sigs, parts, maps)
+    else:
+        least = _least_hashes(o.kmer_length or word_length(longest))
+        source = lambda maps: (ready.select("seq", "read_id"), N._send_hashes(least, maps, parts, limit))
+    return N.grouped(ready, parts, limit, source, o.hashmaps, _ROUNDS, o.pair_mode == "PE", o.quality_scores)
+
+
 def aligned_pairs(ready: DataFrame, o: Options) -> DataFrame:
     """read_id, candidate, reverse, shift, overlap, mismatches of every usable alignment, and `kept`: whether it agrees enough.
 
     In SE mode the limit adapts to the anchor: the first of 2, 3, 4 times the error rate under which enough candidates lie, or
     none; in PE mode candidates whose mates are candidates of each other stay, of others those under the error rate.
     """
-    links = written(candidate_links(stored_signatures(ready, o), o.coverage), "links")
-    text = lambda c: ready.select(F.col("read_id").alias(c), F.col("seq").alias(f"s{c}"))
-    pairs = links.join(text("a"), "a").join(text("b"), "b").select("a", "b", "sa", "sb")
-    found = pairs.mapInArrow(_align_links(o), _ALIGNED)
-    if o.fixed_reads:
-        found = found.filter(F.col("read_id") < o.fixed_reads)
-    ratio = F.col("mismatches") / F.col("overlap")
-    if o.pair_mode == "PE":
-        flags = paired_flags(both_ways(links)).filter("paired")
-        return found.join(flags, ["read_id", "candidate"], "left").withColumn("kept", F.coalesce("paired", F.lit(False)) | (ratio < o.error_factor)).drop("paired")
-    found = written(found, "aligned")
-    under = [F.count(F.when(ratio < times * o.error_factor, 1)) >= o.coverage * o.coverage_factor for times in (2, 3, 4)]
-    limit = F.when(under[0], 2 * o.error_factor).when(under[1], 3 * o.error_factor).when(under[2], 4 * o.error_factor)
-    limits = found.groupBy("read_id").agg(limit.alias("limit"))
-    return found.join(limits, "read_id").withColumn("kept", F.coalesce(ratio < F.col("limit"), F.lit(False))).drop("limit")
+    return grouped(ready, o).mapInArrow(lambda batches: Part(batches, o).aligned(), _ALIGNED)
 
 
 # --- consensus -----------------------------------------------------------------------------------------
@@ -457,38 +650,195 @@ def candidate_features(columns: Columns, row: np.ndarray, begin: int, o: Options
 
 
 class Piled:
-    """A batch of anchors with the candidates that agree with them, aligned."""
-
-    def __init__(self, batch: pa.RecordBatch, o: Options) -> None:
-        self.o = o
-        self.ids = batch.column(0).to_pylist()
-        self.anchors, self.quals = ([s.encode() for s in c.to_pylist()] for c in batch.columns[1:3])
-        lists = batch.column(3)
-        self.starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        inner = lists.flatten()
-        self.candidates = inner.field("id").to_pylist()
-        self.seqs, self.seq_quals = ([s.encode() for s in inner.field(c).to_pylist()] for c in ("seq", "qual"))
-        self.length = np.array([len(s) for s in self.seqs], np.int64)
-        self.flipped, self.shift, self.over, self.wrong = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("reverse", "shift", "overlap", "mismatches"))
+    """Some anchors of a part with the candidates that agree with them, aligned."""
+
+    def __init__(self, part: Part, at: np.ndarray, starts: np.ndarray, o: Options) -> None:
+        self.o, self.reads, self.starts = o, part.reads, starts
+        self.anchor, self.candidate = part.anchor[at[starts[:-1]]], part.candidate[at]
+        self.ids, self.candidates = self.reads.ids[self.anchor].tolist(), self.reads.ids[self.candidate].tolist()
+        self.length = self.reads.length[self.candidate]
+        self.flipped, self.shift, self.over, self.wrong = part.flipped[at], *(x[at].astype(np.int64) for x in (part.shift, part.over, part.wrong))
 
     def kept(self, i: int) -> np.ndarray:
         return np.arange(self.starts[i], self.starts[i + 1])
 
     def pile(self, i: int, own: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray] | None, np.ndarray]:
         """(sequences, qualities if they count, weight factors) of anchor i and its candidates in its direction."""
-        rows, quals = [np.frombuffer(self.anchors[i], np.uint8)], [np.frombuffer(self.quals[i], np.uint8)]
-        for c in own:
-            s, w = np.frombuffer(self.seqs[c], np.uint8), np.frombuffer(self.seq_quals[c], np.uint8)
-            rows.append(K._COMPLEMENT[s[::-1]] if self.flipped[c] else s)
-            quals.append(w[::-1] if self.flipped[c] else w)
+        r = self.reads
+        of = lambda x, c: x[r.offsets[c] : r.offsets[c + 1]]
+        all_of = [(self.anchor[i], False), *zip(self.candidate[own], self.flipped[own])]
+        rows = [_LETTERS[3 - of(r.text, c)[::-1] if turn else of(r.text, c)] for c, turn in all_of]
         factors = overlap_weight(self.wrong[own], self.over[own], self.o.max_mismatch_ratio)
-        return rows, quals if self.o.quality_scores else None, factors
-
-
-def _correct(o: Options, forests: tuple[Forest | None, Forest | None]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = Piled(batch, o)
+        quals = [of(r.quals, c)[::-1] if turn else of(r.quals, c) for c, turn in all_of] if self.o.quality_scores else None
+        return rows, quals, factors
+
+
+class Stacked:
+    """`Columns` of all anchors of some piles after candidates of other regions are taken out, one beside the other."""
+
+    def __init__(self, p: Piled, o: Options) -> None:
+        self.p, self.o = p, o
+        r, n = p.reads, len(p.anchor)
+        self.keep = np.ones(len(p.candidate), bool)
+        self.factors = overlap_weight(p.wrong, p.over, o.max_mismatch_ratio)
+        self.owner = np.repeat(np.arange(n), np.diff(p.starts))
+        # Rows: each anchor before its candidates.
+        place = np.concatenate([p.starts[:-1] + np.arange(n), np.arange(len(p.candidate)) + self.owner + 1])
+        sorted_by = np.empty_like(place)
+        sorted_by[place] = np.arange(len(place))
+        join = lambda a, c: np.concatenate([a, c])[sorted_by]
+        self.row_owner = join(np.arange(n), self.owner)
+        self.row_candidate = join(np.full(n, -1), np.arange(len(p.candidate)))
+        read, turn = join(p.anchor, p.candidate), join(np.zeros(n, bool), p.flipped)
+        self.row_shift, self.row_factor = join(np.zeros(n, np.int64), p.shift), join(np.ones(n), self.factors)
+        self.row_length = r.length[read]
+        self.row_starts = np.concatenate([[0], np.cumsum(self.row_length)])
+        # Letters of all rows in the anchor's direction.
+        first, step = np.where(turn, r.offsets[read + 1] - 1, r.offsets[read]), np.where(turn, -1, 1)
+        nth = np.arange(self.row_starts[-1]) - np.repeat(self.row_starts[:-1], self.row_length)
+        at = np.repeat(first, self.row_length) + np.repeat(step, self.row_length) * nth
+        self.base = np.where(np.repeat(turn, self.row_length), 3 - r.text[at], r.text[at])
+        self.weight = quality_weight(r.quals[at], o.phred) if o.quality_scores else None
+        self.anchor_rows = p.starts[:-1] + np.arange(n)
+        self.anchor_length = r.length[p.anchor]
+        self.nth = nth
+        self._build(np.arange(n))
+        todo = np.arange(n)
+        for _ in range(5):
+            todo = todo[self._other_regions(todo)]
+            if not len(todo):
+                break
+            self._build(todo)
+
+    def _build(self, owners: np.ndarray) -> None:
+        """Columns of some anchors; those of the others stay."""
+        n = len(self.p.anchor)
+        use = np.zeros(n, bool)
+        use[owners] = True
+        rows = np.flatnonzero(use[self.row_owner] & ((self.row_candidate < 0) | self.keep[self.row_candidate]))
+        owner, shift, length = self.row_owner[rows], self.row_shift[rows], self.row_length[rows]
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.minimum.at(low, owner, shift)
+        np.maximum.at(high, owner, shift + length)
+        width = np.where(use, high - low, 0)
+        starts = np.concatenate([[0], np.cumsum(width)])
+        total = int(starts[-1])
+        cells = N._rows(self.row_starts, rows)
+        key = np.repeat(starts[owner] - low[owner] + shift, length) + self.nth[cells]
+        key += self.base[cells].astype(np.int64) * total
+        weights = np.repeat(self.row_factor[rows], length)
+        if self.weight is not None:
+            weights *= self.weight[cells]
+        counts = np.bincount(key, minlength=4 * total).reshape(4, total)
+        weights = np.bincount(key, weights=weights, minlength=4 * total).reshape(4, total).round(9)
+        if not use.all():
+            # Put the new columns in the place of the old ones.
+            source = np.where(np.repeat(use, np.where(use, width, self.width)), 1, 0).astype(bool)
+            merged = np.where(use, width, self.width)
+            old = N._rows(self.starts, np.flatnonzero(~use))
+            both = []
+            for was, new in ((self.counts, counts), (self.weights, weights)):
+                out = np.empty((4, len(source)), was.dtype)
+                out[:, source], out[:, ~source] = new, was[:, old]
+                both.append(out)
+            counts, weights = both
+            low = np.where(use, low, -self.begin)
+            width = merged
+            starts = np.concatenate([[0], np.cumsum(width)])
+        self.begin, self.width, self.starts, self.counts, self.weights = -low, width, starts, counts, weights
+        self.consensus = weights.argmax(axis=0)
+        sums = weights.sum(axis=0)
+        self.support = np.divide(weights.max(axis=0), sums, out=np.zeros(len(sums)), where=sums > 0)
+        self.coverage = counts.sum(axis=0)
+
+    def _own(self, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns under some anchors, the anchors' bases, where each anchor starts)."""
+        n = self.anchor_length[owners]
+        starts = np.cumsum(n) - n
+        nth = np.arange(n.sum()) - np.repeat(starts, n)
+        return np.repeat(self.starts[owners] + self.begin[owners], n) + nth, self.base[np.repeat(self.row_starts[self.anchor_rows[owners]], n) + nth], starts
+
+    def _other_regions(self, owners: np.ndarray) -> np.ndarray:
+        """Take out candidates of other regions as `other_region` tells; of which of the anchors there were some."""
+        columns, base, starts = self._own(owners)
+        top = self.consensus[columns]
+        counts = self.counts[:, columns]
+        counts[top, np.arange(len(top))] = -1
+        frequent = counts >= int(self.o.coverage * 0.3)
+        differs = np.logical_or.reduceat(base != top, starts)
+        some = np.flatnonzero(frequent.any(axis=0))
+        of = np.searchsorted(starts, some, "right") - 1
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        hit, who = some[first], of[first]
+        hit, who = hit[differs[who]], who[differs[who]]
+        found = 3 - frequent[::-1, hit].argmax(axis=0)
+        n = len(self.p.anchor)
+        column, wanted, same = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, bool)
+        column[owners[who]], wanted[owners[who]], same[owners[who]] = hit - starts[who], found, base[hit] == found
+        rows = np.flatnonzero((self.row_candidate >= 0) & (column[self.row_owner] >= 0))
+        rows = rows[self.keep[self.row_candidate[rows]]]
+        place = column[self.row_owner[rows]] - self.row_shift[rows]
+        inside = (place >= 0) & (place < self.row_length[rows])
+        rows, place = rows[inside], place[inside]
+        owner = self.row_owner[rows]
+        gone = (self.base[self.row_starts[rows] + place] == wanted[owner]) != same[owner]
+        rows, owner = rows[gone], owner[gone]
+        stays = np.zeros(n, bool)
+        stays[owner[self.row_factor[rows] >= 0.90]] = True
+        rows = rows[~stays[owner]]
+        self.keep[self.row_candidate[rows]] = False
+        changed = np.zeros(n, bool)
+        changed[self.row_owner[rows]] = True
+        return changed[owners]
+
+    def numbers(self) -> np.ndarray:
+        """Kept candidates of each anchor."""
+        return np.bincount(self.owner[self.keep], minlength=len(self.p.anchor))
+
+    def quality(self) -> tuple[np.ndarray, np.ndarray]:
+        """`quality_of` of all anchors."""
+        o = self.o
+        columns, _, starts = self._own(np.arange(len(self.p.anchor)))
+        support = self.support[columns]
+        average, least = np.add.reduceat(support, starts) / self.anchor_length, np.minimum.reduceat(support, starts)
+        cover = np.minimum.reduceat(self.coverage[columns], starts)
+        e = o.error_factor
+        good = (average >= 1 - e - _NEAR) & (least >= 1 - 3 * e - _NEAR) & (cover >= o.coverage_factor / 6 * o.coverage - _NEAR)
+        percent = np.ceil(100 * (np.maximum(np.maximum(1 - average, (1 - least) / 3), 0) - _NEAR))
+        return good, good & (percent <= np.ceil(e * 100 - _NEAR) * 0.5 + _NEAR)
+
+
+def _corrected(p: Piled, o: Options) -> pa.RecordBatch:
+    """`correct_anchor` and the corrected candidates of all anchors at once, without forests."""
+    x = Stacked(p, o)
+    n = len(p.anchor)
+    has = x.numbers() > 0
+    trusted, high = x.quality()
+    high &= has
+    columns, base, _ = x._own(np.arange(n))
+    each = np.repeat(np.arange(n), x.anchor_length)
+    top, own = x.consensus[columns], x.counts[base, columns]
+    take = has[each] & (trusted[each] | (x.support[columns] > 0.90) & (own <= 2))
+    letters = [_LETTERS[np.where(take, top, base)]]
+    ids, hq, shift, lengths = [p.reads.ids[p.anchor]], [high], [np.zeros(n, np.int64)], [x.anchor_length]
+    if o.correct_candidates:
+        begin = x.begin[x.owner] + p.shift
+        near = np.flatnonzero(x.keep & high[x.owner] & (np.abs(p.shift) <= o.candidate_columns) & (begin + p.length <= x.begin[x.owner] + x.anchor_length[x.owner] + o.candidate_columns))
+        length, turn = p.length[near], p.flipped[near]
+        first = x.starts[x.owner[near]] + begin[near]
+        nth = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        at = np.repeat(np.where(turn, first + length - 1, first), length) + np.repeat(np.where(turn, -1, 1), length) * nth
+        letters.append(_LETTERS[np.where(np.repeat(turn, length), 3 - x.consensus[at], x.consensus[at])])
+        for out, more in zip((ids, hq, shift, lengths), (p.reads.ids[p.candidate[near]], np.zeros(len(near), bool), p.shift[near], length)):
+            out.append(more)
+    ids, hq, shift, lengths = (np.concatenate(v) for v in (ids, hq, shift, lengths))
+    kind = pa.DictionaryArray.from_arrays(pa.array((np.arange(len(ids)) >= n).astype(np.int8)), pa.array(["anchor", "candidate"])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(ids), kind, pa.array(hq), pa.array(shift.astype(np.int32)), to_strings(np.concatenate(letters), np.concatenate([[0], np.cumsum(lengths)]))], ["read_id", "kind", "hq", "shift", "seq"])
+
+
+def _correct_with(o: Options, forests: tuple[Forest | None, Forest | None]):
+    def run(piles: Iterator[Piled]) -> Iterator[pa.RecordBatch]:
+        for p in piles:
             out: dict[str, list] = {k: [] for k in ("read_id", "kind", "hq", "shift", "seq")}
 
             def add(*values, out=out) -> None:
@@ -519,28 +869,42 @@ def _correct(o: Options, forests: tuple[Forest | None, Forest | None]):
     return run
 
 
-def _consensus(o: Options):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = Piled(batch, o)
-            rows_out = []
-            for i in range(len(p.ids)):
-                own = p.kept(i)
-                if len(own):
-                    rows, quals, factors = p.pile(i, own)
-                    keep, c = selected_columns(rows, p.shift[own], factors, quals, o)
-                    rows_out.append((p.ids[i], len(keep), -c.begin, _LETTERS[c.consensus].tobytes().decode(), c.support.round(9).tolist(), c.coverage.tolist(), *quality_of(c, o)))
+def _correct(o: Options, forests: tuple[Forest | None, Forest | None]):
+    if any(f is not None for f in forests):
+        return _correct_with(o, forests)
+    return lambda piles: (_corrected(p, o) for p in piles)
+
+
+def _joined_numbers(x: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Whole numbers of each row as text with commas."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x).cast(pa.string())), ",")
+
+
+def _consensus(o: Options, as_text: bool = False):
+    """Support and coverage as lists, or as text: whole millionths and numbers with commas."""
+
+    def run(piles: Iterator[Piled]) -> Iterator[pa.RecordBatch]:
+        for p in piles:
+            x = Stacked(p, o)
+            support = x.support.round(9)
+            text = to_strings(_LETTERS[x.consensus], x.starts)
+            if as_text:
+                micro = support * 1_000_000
+                low = np.floor(micro)
+                lists = [_joined_numbers(low.astype(np.int64) + (micro - low >= 0.5), x.starts), _joined_numbers(x.coverage, x.starts)]
+            else:
+                starts = pa.array(x.starts, pa.int32())
+                lists = [pa.ListArray.from_arrays(starts, pa.array(support)), pa.ListArray.from_arrays(starts, pa.array(x.coverage.astype(np.int32)))]
+            trusted, high = x.quality()
             names = ["read_id", "reads", "begin", "consensus", "support", "coverage", "trusted", "hq"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows_out], k) for j, k in enumerate(kinds)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(p.reads.ids[p.anchor]), pa.array(x.numbers().astype(np.int32)), pa.array((-x.begin).astype(np.int32)), text, *lists, pa.array(trusted), pa.array(high)], names)
 
     return run
 
 
 def _features(o: Options):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = Piled(batch, o)
+    def run(piles: Iterator[Piled]) -> Iterator[pa.RecordBatch]:
+        for p in piles:
             out: dict[str, list] = {k: [] for k in ("read_id", "kind", "pos", "consensus", "features")}
             for i in range(len(p.ids)):
                 own = p.kept(i)
@@ -590,9 +954,8 @@ def split_patterns(columns: Columns, rows: list[np.ndarray], shifts: np.ndarray)
 
 
 def _splits(o: Options):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = Piled(batch, o)
+    def run(piles: Iterator[Piled]) -> Iterator[pa.RecordBatch]:
+        for p in piles:
             out: list[tuple] = []
             for i in range(len(p.ids)):
                 own = p.kept(i)
@@ -613,17 +976,12 @@ def region_splits(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """read_id, pattern, candidates: groups of an anchor's candidates by what they show in columns of which two bases hold about
     half each. The pattern lists column (0 is the anchor's first base) and base. Piles without such columns, or with more than 16,
     have no groups."""
-    return piles(reads, options).mapInArrow(_splits(options), "read_id bigint, pattern string, candidates array<bigint>")
+    return piled(reads, options, _splits(options), "read_id bigint, pattern string, candidates array<bigint>")
 
 
-def piles(reads: DataFrame, o: Options) -> DataFrame:
-    """read_id, seq, qual and the kept candidates, by id, of every anchor that has some; at most hashmaps * bucket_limit of them."""
-    ready = ready_reads(reads, o)
-    kept = aligned_pairs(ready, o).filter("kept")
-    own = ready.select(F.col("read_id").alias("candidate"), F.col("seq").alias("cseq"), F.col("qual").alias("cqual"))
-    one = F.struct(F.col("candidate").alias("id"), F.col("cseq").alias("seq"), F.col("cqual").alias("qual"), "reverse", "shift", "overlap", "mismatches")
-    grouped = kept.join(own, "candidate").groupBy("read_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
-    return ready.join(grouped, "read_id").select("read_id", "seq", "qual", "c")
+def piled(reads: DataFrame, o: Options, use: Callable[[Iterator[Piled]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What `use` makes of every anchor that has kept candidates; at most hashmaps * bucket_limit of them."""
+    return grouped(ready_reads(reads, o), o).mapInArrow(lambda batches: use(Part(batches, o).piles(o)), schema)
 
 
 def corrections(reads: DataFrame, options: Options = Options(), anchor_forest: Forest | None = None, candidate_forest: Forest | None = None) -> DataFrame:
@@ -633,7 +991,7 @@ def corrections(reads: DataFrame, options: Options = Options(), anchor_forest: F
     has no correction; an empty table gives none. With a forest and correction type 1, positions of anchors that are
     not of high quality take the consensus where the forest says so.
     """
-    return piles(reads, options).mapInArrow(_correct(options, (anchor_forest, candidate_forest)), "read_id bigint, kind string, hq boolean, shift int, seq string")
+    return piled(reads, options, _correct(options, (anchor_forest, candidate_forest)), "read_id bigint, kind string, hq boolean, shift int, seq string")
 
 
 def alignments(reads: DataFrame, options: Options = Options()) -> DataFrame:
@@ -641,17 +999,18 @@ def alignments(reads: DataFrame, options: Options = Options()) -> DataFrame:
     return aligned_pairs(ready_reads(reads, options), options)
 
 
-def consensus_columns(reads: DataFrame, options: Options = Options()) -> DataFrame:
+def consensus_columns(reads: DataFrame, options: Options = Options(), as_text: bool = False) -> DataFrame:
     """Per anchor with kept candidates: how many, first column (0 is the anchor's first base), consensus, support and coverage
-    of every column, and whether the consensus can be trusted and is of high quality."""
-    return piles(reads, options).mapInArrow(_consensus(options), "read_id bigint, reads int, begin int, consensus string, support array<double>, coverage array<int>, trusted boolean, hq boolean")
+    of every column, and whether the consensus can be trusted and is of high quality. As text, support is in whole millionths."""
+    kinds = ("string", "string") if as_text else ("array<double>", "array<int>")
+    return piled(reads, options, _consensus(options, as_text), f"read_id bigint, reads int, begin int, consensus string, support {kinds[0]}, coverage {kinds[1]}, trusted boolean, hq boolean")
 
 
 def correction_features(reads: DataFrame, options: Options = Options()) -> DataFrame:
     """Correction type 2: read_id, kind, pos, consensus, features of every position that differs from the consensus, in
     anchors that are not of high quality and in candidates near an anchor; to train a forest with. Reverse candidates
     have positions -pos - 1."""
-    return piles(reads, options).mapInArrow(_features(options), "read_id bigint, kind string, pos int, consensus string, features array<double>")
+    return piled(reads, options, _features(options), "read_id bigint, kind string, pos int, consensus string, features array<double>")
 
 
 def combined(found: DataFrame) -> DataFrame:
