@@ -445,8 +445,7 @@ def millionths(values: str) -> Column:
 
 @query
 def consensus(spark, d):
-    found = correct.consensus_columns(se(spark, d, "qual"))
-    return found.withColumns({"support": millionths("support"), "coverage": F.concat_ws(",", F.col("coverage").cast("array<string>"))})
+    return correct.consensus_columns(se(spark, d, "qual"), as_text=True)
 
 
 @query
