@@ -323,65 +323,101 @@ def _words(planes: np.ndarray, rows: np.ndarray, s: np.ndarray, at: int) -> np.n
     return planes[:, np.minimum(w, last), rows] >> r | planes[:, np.minimum(w + 1, last), rows] << np.uint64(1) << (np.uint64(63) - r)
 
 
-def _align_both(a: np.ndarray, la: np.ndarray, c: np.ndarray, turned: np.ndarray, lc: np.ndarray, width: int, o: Options) -> Iterator[tuple]:
-    """Of pairs as bit planes (`turned`: the reverse complements of c) what `align` and `orient` find with a as anchor, then with c:
-    (usable, reverse, shift, overlap, mismatches).
+def _windows(plane: np.ndarray, most: int) -> np.ndarray:
+    """Of each read (bits, words before reads) the first word after 0, 1, ..., most columns are dropped."""
+    out = np.empty((most + 1, plane.shape[1]), np.uint64)
+    for s in range(most + 1):
+        out[s] = _word(plane, s)
+    return np.ascontiguousarray(out.T)
+
+
+#: Masks of the first 0 to 64 columns.
+_FIRST = np.append((np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1), ~np.uint64(0))
+#: Words that are compared at once, so that they stay in the cache, and words of windows that are held.
+_COMPARED, _WINDOWS = 1 << 14, 1 << 24
+
+
+def _near_shifts(windows: np.ndarray, moved: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], la: np.ndarray, lc: np.ndarray, least: np.ndarray, near: np.ndarray, first: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the side, rows, shifts from `first`) where reads (`moved` in `windows`, of length la) after so many columns are
+    dropped may agree with those of a side (first words of reads, places of its reads): one of the two bits of the first 64 columns
+    of the overlap, which rejects nearly all shifts, differs in fewer columns than `near` has for the overlap."""
+    order = np.lexsort((lc, la))
+    ends = np.append(np.flatnonzero(np.diff(la[order], prepend=-1)), len(order))
+    for begin, end in zip(ends[:-1], ends[1:]):
+        length = int(la[order[begin]])
+        s = np.arange(first, length - int(least[order[begin:end]].min()) + 1)
+        if not len(s):
+            continue
+        part = min(max(64, _COMPARED // len(s)), end - begin)
+        short = int(np.searchsorted(s, length - 63))
+        mask = _FIRST[length - s[short:]]
+        cells = len(s) * part
+        differs, counts, hits = np.empty(cells, np.uint64), np.empty(cells, np.uint8), np.zeros(-(-cells // 8) * 8, bool)
+        for at in range(begin, end, part):
+            rows = order[at : min(end, at + part)]
+            n = len(rows)
+            differ, count, hit = (x[: len(s) * n].reshape(n, len(s)) for x in (differs, counts, hits))
+            hits[len(s) * n :] = False
+            own = windows.take(moved[rows], axis=0)[:, first : first + len(s)]
+            few = near[np.minimum(length - s, lc[rows[-1]])]
+            inside = _FIRST[np.minimum(lc[rows], 64)] if lc[rows[0]] < 64 else None
+            for side, (word, place) in enumerate(sides):
+                np.bitwise_xor(own, word[place[rows], None], out=differ)
+                np.bitwise_and(differ[:, short:], mask, out=differ[:, short:])
+                if inside is not None:
+                    np.bitwise_and(differ, inside[:, None], out=differ)
+                np.bitwise_count(differ, out=count)
+                np.less(count, few, out=hit)
+                found = np.flatnonzero(hits.view(np.uint64))
+                if len(found):
+                    found = (found[:, None] * 8 + np.arange(8)).ravel()
+                    row, shift = np.divmod(found[hits[found]], len(s))
+                    yield side, rows[row], shift + first
+
+
+def _align_both(planes: np.ndarray, turned: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray, width: int, o: Options) -> Iterator[tuple]:
+    """Of pairs of reads by their places in bit planes (`turned`: the reverse complements) what `align` and `orient` find with i as
+    anchor, then with j: (usable, reverse, shift, overlap, mismatches).
 
     Shift s of c along a is shift -s of a along c, and if one is turned, s + lc - la; so both sides need the same comparisons
-    and differ in the order of equal scores and in the least overlap. One of the two bits of the first 64 columns of an overlap
-    rejects nearly all shifts.
+    and differ in the order of equal scores and in the least overlap. Windows of all shifts are made once for each read.
     """
+    la, lc = length[i], length[j]
     n, total = len(la), la + lc
     sides = ((la, lc), (lc, la))
     needs = [np.maximum(o.min_overlap, (x * o.min_overlap_ratio).astype(np.int64)) for x, _ in sides]
     least = np.minimum(*needs)
     allowed_of = (np.arange(width + 1) * o.max_mismatch_ratio).astype(np.int64)
+    near = np.minimum(allowed_of, 255).astype(np.uint8)
     order = 4 * width
     none = np.iinfo(np.int64).max
     best = np.full((2, 2, n), none)
-    most_a, most_c = int(la.max()), int(lc.max())
-    same = most_a == la.min() and most_c == lc.min()
-    hits: list[tuple[np.ndarray, int, int]] = []
-    differ, count, hit = np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n, bool)
-
-    def compare(s: int, left: tuple, right: tuple, turn: int) -> None:
-        widest = min(most_a - s, most_c) if s >= 0 else min(most_a, most_c + s)
-        np.bitwise_xor(left[0], right[0], out=differ)
-        if not same:
-            np.bitwise_and(differ, left[1], out=differ)
-            np.bitwise_and(differ, right[1], out=differ)
-        elif widest < 64:
-            np.bitwise_and(differ, np.uint64((1 << widest) - 1), out=differ)
-        np.bitwise_count(differ, out=count)
-        np.less(count, int(min(255, allowed_of[widest])), out=hit)
-        if hit.any():
-            rows = np.flatnonzero(hit).astype(np.int32)
-            hits.append((rows, s, turn))
-
-    used = (0,) if same else (0, 2)
-    for s in range(max(0, int((la - least).max())) + 1):
-        left = tuple(_word(a[i], s) for i in used)
-        for turn, other in enumerate((c, turned)):
-            compare(s, left, tuple(other[i, 0] for i in used), turn)
-    for s in range(1, max(0, int((lc - least).max())) + 1):
-        for turn, other in enumerate((c, turned)):
-            compare(-s, tuple(a[i, 0] for i in used), tuple(_word(other[i], s) for i in used), turn)
+    left = max(0, int((lc - least).max()))
+    hits: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    windows = _windows(planes[0], max(left, int((la - least).max())))
+    for turn, rows, s in _near_shifts(windows, i, [(planes[0, 0], j), (turned[0, 0], j)], la, lc, least, near, 0):
+        hits[turn].append((rows, s))
+    for turn in (0, 1):
+        windows = _windows(turned[0], left) if turn else windows
+        for _, rows, s in _near_shifts(windows, j, [(planes[0, 0], i)], lc, la, least, near, 1):
+            hits[turn].append((rows, -s))
+    del windows
 
     # What was not rejected, with all columns.
-    for of in (0, 1):
-        some = [(rows, s) for rows, s, turn in hits if turn == of]
+    one, other_way = (np.concatenate([v[:2], np.zeros((2, 1, v.shape[2]), np.uint64)], axis=1) for v in (planes, turned))
+    for of, some in enumerate(hits):
         if not some:
             continue
-        rows, s = np.concatenate([r for r, _ in some]), np.repeat([s for _, s in some], [len(r) for r, _ in some])
+        rows, s = (np.concatenate([x[k] for x in some]) for k in (0, 1))
         x, y = la[rows], lc[rows]
         over = np.where(s >= 0, np.minimum(x - s, y), np.minimum(x, y + s))
-        near = over >= least[rows]
-        rows, s, over = rows[near], s[near], over[near]
-        one, two = (np.concatenate([v, np.zeros((3, 1, n), np.uint64)], axis=1) for v in (a, turned if of else c))
+        long = over >= least[rows]
+        rows, s, over = rows[long], s[long], over[long]
+        two = other_way if of else one
         miss = np.zeros(len(rows), np.int64)
         for w in range(-(-int(over.max(initial=0)) // 64)):
-            p, q = _words(one, rows, np.maximum(s, 0), w), _words(two, rows, np.maximum(-s, 0), w)
-            miss += np.bitwise_count(((p[0] ^ q[0]) | (p[1] ^ q[1])) & p[2] & q[2])
+            p, q = _words(one, i[rows], np.maximum(s, 0), w), _words(two, j[rows], np.maximum(-s, 0), w)
+            miss += np.bitwise_count(((p[0] ^ q[0]) | (p[1] ^ q[1])) & _FIRST[np.clip(over - 64 * w, 0, 64)])
         good = miss < allowed_of[over]
         rows, s, over, miss = rows[good], s[good], over[good], miss[good]
         score = (miss + total[rows] - 2 * over) * order
@@ -402,25 +438,23 @@ def _align_both(a: np.ndarray, la: np.ndarray, c: np.ndarray, turned: np.ndarray
         yield ok, rev, *(np.where(rev, ways[1][i], ways[0][i]) for i in (1, 2, 3))
 
 
-def _align_pairs(reads: N.Reads, left: np.ndarray, right: np.ndarray, o: Options, block: int = 4096) -> list[np.ndarray]:
+def _align_pairs(reads: N.Reads, left: np.ndarray, right: np.ndarray, o: Options) -> list[np.ndarray]:
     """`_align_both` of pairs of reads by their places: five arrays of a row for each side."""
     out = [np.zeros((2, len(left)), t) for t in (bool, bool, np.int16, np.int16, np.int16)] if not len(reads.length) or reads.length.max() < 1 << 15 else [np.zeros((2, len(left)), t) for t in (bool, bool, np.int64, np.int64, np.int64)]
     size = -(-np.maximum(reads.length[left], reads.length[right]) // 64)
     for words in np.unique(size):
         own = np.flatnonzero(size == words)
-        used, place = np.unique(np.concatenate([left[own], right[own]]), return_inverse=True)
-        length = reads.length[used]
         width = 64 * int(words)
-        rows = matrix(_LETTERS[reads.text], reads.offsets, used, np.zeros(len(reads.length), np.int64), reads.length, width)
-        planes, turned = _planes(rows, width), _planes(reverse_rows(rows, length), width)
-        i, j = place[: len(own)], place[len(own) :]
-        order = np.lexsort((length[j], length[i]))
-        for at in range(0, len(own), block):
-            rows = order[at : at + block]
-            x, y = i[rows], j[rows]
-            for side, found in enumerate(_align_both(planes[:, :, x], length[x], planes[:, :, y], turned[:, :, y], length[y], width, o)):
+        needed = np.zeros(len(reads.length), bool)
+        needed[left[own]] = needed[right[own]] = True
+        for rows in np.array_split(own, min(len(own), -(-int(needed.sum()) * width // _WINDOWS))):
+            used, place = np.unique(np.concatenate([left[rows], right[rows]]), return_inverse=True)
+            length = reads.length[used]
+            texts = matrix(_LETTERS[reads.text], reads.offsets, used, np.zeros(len(reads.length), np.int64), reads.length, width)
+            planes, turned = _planes(texts, width), _planes(reverse_rows(texts, length), width)
+            for side, found in enumerate(_align_both(planes, turned, length, place[: len(rows)], place[len(rows) :], width, o)):
                 for all_of, values in zip(out, found):
-                    all_of[side, own[rows]] = values
+                    all_of[side, rows] = values
     return out
 
 
@@ -673,6 +707,14 @@ class Piled:
         return rows, quals, factors
 
 
+def _runs(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each row the numbers from its first on, one row after the other."""
+    ends = np.cumsum(length)
+    out = np.repeat(first - (ends - length), length)
+    out += np.arange(len(out))
+    return out
+
+
 class Stacked:
     """`Columns` of all anchors of some piles after candidates of other regions are taken out, one beside the other."""
 
@@ -694,14 +736,12 @@ class Stacked:
         self.row_length = r.length[read]
         self.row_starts = np.concatenate([[0], np.cumsum(self.row_length)])
         # Letters of all rows in the anchor's direction.
-        first, step = np.where(turn, r.offsets[read + 1] - 1, r.offsets[read]), np.where(turn, -1, 1)
-        nth = np.arange(self.row_starts[-1]) - np.repeat(self.row_starts[:-1], self.row_length)
-        at = np.repeat(first, self.row_length) + np.repeat(step, self.row_length) * nth
-        self.base = np.where(np.repeat(turn, self.row_length), 3 - r.text[at], r.text[at])
-        self.weight = quality_weight(r.quals[at], o.phred) if o.quality_scores else None
+        text, quals = r.both_ways
+        at = _runs(np.where(turn, len(text) - r.offsets[read + 1], r.offsets[read]), self.row_length)
+        self.base = text[at]
+        self.weight = quality_weight(quals[at], o.phred) if o.quality_scores else None
         self.anchor_rows = p.starts[:-1] + np.arange(n)
         self.anchor_length = r.length[p.anchor]
-        self.nth = nth
         self._build(np.arange(n))
         todo = np.arange(n)
         for _ in range(5):
@@ -723,9 +763,9 @@ class Stacked:
         width = np.where(use, high - low, 0)
         starts = np.concatenate([[0], np.cumsum(width)])
         total = int(starts[-1])
-        cells = N._rows(self.row_starts, rows)
-        key = np.repeat(starts[owner] - low[owner] + shift, length) + self.nth[cells]
-        key += self.base[cells].astype(np.int64) * total
+        cells = _runs(self.row_starts[rows], length) if len(rows) < len(self.row_owner) else slice(None)
+        key = _runs(starts[owner] - low[owner] + shift, length)
+        key += np.multiply(self.base[cells], total, dtype=np.int64)
         weights = np.repeat(self.row_factor[rows], length)
         if self.weight is not None:
             weights *= self.weight[cells]

@@ -9,6 +9,7 @@ that needs it, however many pairs it belongs to there.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -332,6 +333,11 @@ class Reads:
         self.text, self.offsets = text[at], np.concatenate([[0], np.cumsum(self.length)])
         self.quals = joined(rows, 3, True)[at] if quals and rows else None
 
+    @cached_property
+    def both_ways(self) -> tuple[np.ndarray, np.ndarray | None]:
+        """Bases and qualities of all reads, and after them those of the reverse complements from the last read to the first."""
+        return np.concatenate([self.text, 3 - self.text[::-1]]), None if self.quals is None else np.concatenate([self.quals, self.quals[::-1]])
+
     def at(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ids, ids)
 

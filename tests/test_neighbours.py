@@ -83,6 +83,59 @@ def test_columns_of_all_anchors_at_once(spark, o):
     assert removed > 0
 
 
+def test_shifts_are_made_once_for_each_read(spark, monkeypatch):
+    o, shifted = Options(), []
+    got = correct.grouped(correct.ready_reads(spark.createDataFrame(noisy(400), "read_id bigint, seq string, qual string"), o), o).collect()
+    word = correct._word
+    monkeypatch.setattr(correct, "_word", lambda plane, s: shifted.append(plane.shape[1]) or word(plane, s))
+    part = correct.Part(iter([N.batch([tuple(r)[:2] + tuple(bytes(x) if x is not None else None for x in tuple(r)[2:]) for r in got])]), o)
+    assert len(part.anchor) > 5_000
+    # Windows of both directions in each of three widths, whatever the pairs are: before, a copy for each pair and side.
+    assert 0 < sum(shifted) <= 3 * 2 * 128 * len(part.reads.ids)
+
+
+def test_letters_of_a_pile_are_taken_in_one_run(spark):
+    o = Options(coverage=10, quality_scores=True)
+    part = parts(spark, o)
+    text, quals = part.reads.both_ways
+    for c in range(0, len(part.reads.ids), 7):
+        at = correct._runs(np.array([len(text) - part.reads.offsets[c + 1], part.reads.offsets[c]]), np.repeat(part.reads.length[c], 2))
+        own = slice(part.reads.offsets[c], part.reads.offsets[c + 1])
+        assert (text[at] == np.concatenate([3 - part.reads.text[own][::-1], part.reads.text[own]])).all()
+        assert (quals[at] == np.concatenate([part.reads.quals[own][::-1], part.reads.quals[own]])).all()
+
+
+@pytest.mark.parametrize("few", [1 << 14, 1 << 8])
+def test_pairs_by_few_windows(few, monkeypatch):
+    """All lengths, also of several words, and pairs in several portions: as one pair after the other."""
+    rng = np.random.default_rng(few)
+    g = rng.integers(0, 4, 700).astype(np.uint8)
+    texts = []
+    for size in [*range(28, 132, 3), 20, 64, 65, 128, 129, 300, 640]:
+        p = rng.integers(0, 700 - size + 1) if size > 300 else rng.integers(0, 300 - size + 1)
+        t = np.where(rng.random(size) < 0.06, rng.integers(0, 4, size), g[p : p + size]).astype(np.uint8)
+        texts.append(t if rng.random() < 0.5 else 3 - t[::-1])
+    texts.append(np.zeros(100, np.uint8))
+    texts.append(np.full(70, 3, np.uint8))
+    n = np.array([len(t) for t in texts])
+    reads = N.Reads([[N._bytes(np.arange(len(texts))), N._bytes(n), N._bytes(N.packed(np.concatenate(texts)))]], False)
+    left, right = np.triu_indices(len(texts), 1)
+    monkeypatch.setattr(correct, "_WINDOWS", few)
+    o = Options()
+    ok, *found = correct._align_pairs(reads, left, right, o)
+    stack = lambda which: np.stack([np.pad(np.frombuffer(b"ACGT", np.uint8)[texts[k]], (0, 640 - n[k])) for k in which])
+    used = 0
+    for side, (a, c) in enumerate(((left, right), (right, left))):
+        x, y = stack(a), stack(c)
+        f, r = (correct.align(x, n[a], z, n[c], o.max_mismatch_ratio, o.min_overlap, o.min_overlap_ratio) for z in (y, correct.reverse_rows(y, n[c])))
+        want, turned = correct.orient(f, r, n[a], 4 * o.error_factor, o.min_overlap, o.min_overlap_ratio)
+        assert (ok[side] == want).all() and (found[0][side] == turned)[want].all()
+        for k in (1, 2, 3):
+            assert (found[k][side] == np.where(turned, r[k], f[k]))[want].all()
+        used += want.sum()
+    assert used > 300
+
+
 def test_arrays_in_rows():
     for x in ([], [0, 255], [0, 256], [5, 1 << 20], [1 << 40, 3], [-7, 2]):
         assert N._array(N._bytes(np.array(x, np.int64))).tolist() == x
