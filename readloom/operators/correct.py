@@ -341,7 +341,7 @@ def _near_shifts(windows: np.ndarray, moved: np.ndarray, sides: list[tuple[np.nd
     """(number of the side, rows, shifts from `first`) where reads (`moved` in `windows`, of length la) after so many columns are
     dropped may agree with those of a side (first words of reads, places of its reads): one of the two bits of the first 64 columns
     of the overlap, which rejects nearly all shifts, differs in fewer columns than `near` has for the overlap."""
-    order = np.lexsort((lc, la))
+    order = np.argsort((la * (lc.max(initial=0) + 1) + lc) * windows.shape[0] + moved)  # by lengths, then read, whose windows stay in the cache
     ends = np.append(np.flatnonzero(np.diff(la[order], prepend=-1)), len(order))
     for begin, end in zip(ends[:-1], ends[1:]):
         length = int(la[order[begin]])

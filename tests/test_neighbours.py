@@ -94,6 +94,27 @@ def test_shifts_are_made_once_for_each_read(spark, monkeypatch):
     assert 0 < sum(shifted) <= 3 * 2 * 128 * len(part.reads.ids)
 
 
+def test_windows_are_read_in_order():
+    """Pairs of the same lengths in order of the read whose windows are read, however they come."""
+    rng = np.random.default_rng(5)
+    windows, words = rng.integers(0, 1 << 62, (40, 71)).astype(np.uint64), rng.integers(0, 1 << 62, 40).astype(np.uint64)
+    moved, still, same = rng.integers(0, 40, 900), rng.integers(0, 40, 900), np.full(900, 100)
+    taken = []
+
+    class Seen:
+        shape = windows.shape
+
+        def take(self, rows, axis):
+            taken.extend(rows)
+            return windows.take(rows, axis=axis)
+
+    found = correct._near_shifts(Seen(), moved, [(words, still)], same, same, np.full(900, 30), np.full(101, 21, np.uint8), 0)
+    got = {(int(r), int(s)) for _, rows, shifts in found for r, s in zip(rows, shifts)}
+    assert taken == sorted(moved)
+    inside = np.array([(1 << min(64, 100 - s)) - 1 for s in range(71)], np.uint64)
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count((windows[moved] ^ words[still, None]) & inside) < 21)))) and got
+
+
 def test_letters_of_a_pile_are_taken_in_one_run(spark):
     o = Options(coverage=10, quality_scores=True)
     part = parts(spark, o)
